@@ -32,7 +32,8 @@ LABELS_BROADCAST = 200_000
 
 # Characters that stand in for letters.
 _LEET = str.maketrans("4301$@57", "aeoisast")
-_DIGITS = re.compile(r"\d+")
+# Laughter, which says nothing about a passage.
+LAUGHTER = {"lol", "mdr", "ptdr", "haha", "jaja", "xd"}
 _QUOTED = re.compile(r"«[^«»\n]{0,400}»|“[^“”\n]{0,400}”|„[^„“”\n]{0,400}[“”]|(?<!\w)\"[^\"\n]{0,400}\"|\{\{quote\|[^{}]*\}\}|<blockquote>.*?</blockquote>", re.IGNORECASE | re.DOTALL)
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_][.\-_* ]){3,}[^\W_](?!\w)")
 _WORD = re.compile(r"[^\W_]+(?:[#*$@'’][^\W_]+)*")
@@ -57,7 +58,7 @@ def passages(text: str, word=_word) -> list[list]:
     for part in _STOP.split(text):
         if part and not part.isspace():
             part = _SPACED.sub(lambda m: re.sub(r"[.\-_* ]", "", m.group()), part)
-            found = [word(w) for w in _WORD.findall(part)]
+            found = [word(w) for w in _WORD.findall(part) if w not in LAUGHTER]
             if found:
                 out.append(found)
     return out
