@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.common import require
+from tidemill.common import checkpointed, require
 
 #: White space as Unicode has it.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -113,7 +113,8 @@ def ids_in_spark(text: Column, ranks: _Table) -> Column:
 def lexicon(df: DataFrame, text: str, ranks_path: str, size: int = LEXICON) -> dict[str, bytes]:
     """Ids of the ``size`` stretches between single spaces that occur in most documents of ``df``, each with a space before it; counted over all rows, merged in Spark."""
     seen = df.select(F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("w")).where(F.length("w") < LONGEST).groupBy("w").count()
-    top = seen.orderBy(F.desc("count"), "w").limit(size).select(F.concat(F.lit(" "), "w").alias("w"))
+    top = checkpointed(seen.orderBy(F.desc("count"), "w").limit(size).select(F.concat(F.lit(" "), "w").alias("w")))
+    top = top.repartition(df.sparkSession.sparkContext.defaultParallelism)
     made = top.select("w", ids_in_spark(F.col("w"), _rank_table(ranks_path)).alias("ids")).toArrow()
     ends = np.r_[0, np.cumsum(made["ids"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))]
     flat = made["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
