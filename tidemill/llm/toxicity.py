@@ -27,6 +27,8 @@ from tidemill.llm.lookalike import shape
 MARKED, UNMARKED = 1200, 2800
 #: Buckets of n-grams, width of the embeddings, n-gram sizes, words of a window, step between windows; a window counts as at least LEAST words long, so that a lone name weighs little.
 BUCKETS, WIDTH, GRAMS, WINDOW, STEP, LEAST = 1 << 16, 8, (3, 4, 5), 8, 4, 5
+#: Steps of training at least.
+STEPS = 400
 #: Labels sent to every executor at most; more are joined by shuffle.
 LABELS_BROADCAST = 200_000
 
@@ -105,7 +107,8 @@ class Model:
         return np.concatenate(ids), np.concatenate(shares), np.array(starts)
 
     def fit(self, found: list[list[str]], labels: np.ndarray, importance: np.ndarray, epochs: int, rate: float, batch: int = 256) -> None:
-        for _ in range(epochs):
+        """At least ``epochs`` rounds over the windows, and STEPS steps where these are few."""
+        for _ in range(max(epochs, -(-STEPS * batch // len(found)))):
             order = self.random.permutation(len(found))
             for lo in range(0, len(order), batch):
                 pick = order[lo : lo + batch]
