@@ -44,8 +44,10 @@ def plain(text: str) -> str:
         if "<ref" in text or "<REF" in text or "<Ref" in text:
             text = _REFERENCE.sub("", text)
         text = _TAG.sub("", text)
-    if "[[" in text:
-        text = _LINK.sub(_label, text)
+    while "[[" in text:  # inner links first
+        text, n = _LINK.subn(_label, text)
+        if not n:
+            break
     if "&" in text:
         text = html.unescape(html.unescape(text))
     return text
