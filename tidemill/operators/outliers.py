@@ -219,7 +219,7 @@ def dbscan_1d(df: DataFrame, col: str, eps: float = 0.5, min_samples: int = 5) -
     require(df, col)
     values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("x")  # distinct values only
-    near = values.withColumn("near", F.sum("n").over(w.rangeBetween(-eps, eps)))
+    near = values.withColumn("near", F.expr(f"sum(n) OVER (ORDER BY x RANGE BETWEEN {float(eps)}D PRECEDING AND {float(eps)}D FOLLOWING)"))
     core = near.withColumn("core", F.col("near") >= min_samples)
     last = F.last(F.when(F.col("core"), F.col("x")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     begun = core.withColumn("starts", (F.col("core") & (last.isNull() | (F.col("x") - last > eps))).cast("int"))
