@@ -67,7 +67,7 @@ def mean_absolute_deviation(values: Column) -> Column:
 
 
 def deviations(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., mean_ad, median_ad, mad_left, mad_right): deviation measures of a column in two pre-aggregated passes. The double deviation parts rows at absolute deviation <= median of the values, as its definition in use has it."""
+    """(by..., mean_ad, median_ad, mad_left, mad_right): deviation measures of a column in two pre-aggregated passes. The double deviation parts rows at absolute deviation <= and >= the median of the values, as its definition in use has it."""
     base = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("x"))
     middle = lambda c: F.percentile(c, F.lit(0.5))
     centre = base.groupBy(*by).agg(F.avg("x").alias("mean"), middle(F.col("x")).alias("med"))
@@ -78,7 +78,7 @@ def deviations(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
         joined = base.select("x", F.lit(one["mean"]).alias("mean"), F.lit(one["med"]).alias("med"))
     away = F.abs(F.col("x") - F.col("med"))
     low = away <= F.col("med")
-    return joined.groupBy(*by).agg(F.avg(F.abs(F.col("x") - F.col("mean"))).alias("mean_ad"), middle(away).alias("median_ad"), middle(F.when(low, away)).alias("mad_left"), middle(F.when(~low, away)).alias("mad_right"))
+    return joined.groupBy(*by).agg(F.avg(F.abs(F.col("x") - F.col("mean"))).alias("mean_ad"), middle(away).alias("median_ad"), middle(F.when(low, away)).alias("mad_left"), middle(F.when(away >= F.col("med"), away)).alias("mad_right"))
 
 
 def tail_scaled(value: Column, q5: float, q95: float) -> Column:

@@ -6,6 +6,7 @@ series (spectra, Gaussian processes, kernel densities) run one series a task and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,9 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.common import checkpointed, require
+from tidemill.common import bounded_rows, checkpointed, require
 from tidemill.operators.timeseries import absolute_deviation
 
+#: Clusters at most: their centres and scores are constants of the plan.
+MAX_CLUSTERS = 1000
+
 
 def _median(c) -> Column:
     return F.percentile(c, F.lit(0.5))
@@ -242,8 +246,26 @@ def kmeans_clusters(df: DataFrame, cols: Sequence[str], k: int = 2, seed: int =
     return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster").fit(vectors).transform(vectors).drop("__v")
 
 
-def cluster_outliers(df: DataFrame, cols: Sequence[str], strategy: str = "size", threshold: float | None = None, cluster: str = "cluster") -> DataFrame:
-    """Outliers of clustered rows. ``unclustered``: noise (label -1). ``size``: the smaller a cluster's share of rows, noise being one more cluster. ``frontier``: the farther from the own cluster's centre, as a share of its total. Anything above the mean, or ``threshold``, is flagged."""
+def _log_densities(df: DataFrame, cols: Sequence[str], cluster: str, bandwidth: float, most: int) -> DataFrame:
+    """(label, score): total log density of each cluster's rows under a parabolic kernel of their own columns and their label."""
+
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) > most:
+            raise ValueError(f"a cluster of {len(group)} rows is larger than {most}")
+        x = group[list(cols)].to_numpy(dtype=float) / bandwidth
+        n, d = len(x), x.shape[1] + 1  # the label is one more, constant column
+        unit = np.pi ** (d / 2) / math.gamma(d / 2 + 1)
+        total = 0.0
+        for lo in range(0, n, 512):
+            square = ((x[lo : lo + 512, None] - x[None]) ** 2).sum(axis=2)
+            total += float(np.log((d + 2) / (2 * unit) * np.maximum(1 - square, 0).sum(axis=1) / (n * bandwidth**d)).sum())
+        return pd.DataFrame({"label": [int(key[0])], "score": [total]})
+
+    return df.where(F.col(cluster) >= 0).select(cluster, *cols).groupBy(cluster).applyInPandas(one, "label int, score double")
+
+
+def cluster_outliers(df: DataFrame, cols: Sequence[str], strategy: str = "size", threshold: float | None = None, cluster: str = "cluster", bandwidth: float = 0.2, most: int = 20_000) -> DataFrame:
+    """Outliers of clustered rows. ``unclustered``: noise (label -1). ``size``: the smaller a cluster's share of rows, noise being one more cluster. ``frontier``: the farther from the own cluster's centre, as a share of the distances of all rows from it. ``density``: the less a cluster's total log density under a kernel estimate of its own rows weighs among all clusters, noise weighing nothing; its work is square in a cluster, and larger ones than ``most`` raise. Anything above the mean, or ``threshold``, is flagged."""
     require(df, *cols, cluster)
     if strategy == "unclustered":
         return df.withColumn("probability", F.when(F.col(cluster) == -1, 1.0).otherwise(0.0)).withColumn("outlier", F.col("probability") == 1)
@@ -252,11 +274,19 @@ def cluster_outliers(df: DataFrame, cols: Sequence[str], strategy: str = "size",
         total = sizes.agg(F.sum("__n")).first()[0] or 1
         out = df.join(F.broadcast(sizes), cluster).withColumn("probability", 1 - F.col("__n") / total).drop("__n")
     elif strategy == "frontier":
-        centres = df.groupBy(cluster).agg(*(F.avg(c).alias(f"__{c}") for c in cols))
-        d = df.join(F.broadcast(centres), cluster)
-        d = d.withColumn("__d", F.sqrt(sum((F.pow(F.col(c) - F.col(f"__{c}"), F.lit(2.0)) for c in cols), F.lit(0.0))))
-        totals = d.groupBy(cluster).agg(F.sum("__d").alias("__t"))
-        out = d.join(F.broadcast(totals), cluster).withColumn("probability", F.coalesce(F.try_divide("__d", "__t"), F.lit(0.0))).drop("__d", "__t", *(f"__{c}" for c in cols))
+        centres = bounded_rows(df.groupBy(cluster).agg(*(F.avg(c).alias(c) for c in cols)), MAX_CLUSTERS, "clusters")
+        gap = lambda r: F.sqrt(sum((F.pow(F.col(c) - F.lit(r[c]), F.lit(2.0)) for c in cols), F.lit(0.0)))
+        totals = df.agg(*(F.sum(gap(r)).alias(f"t{i}") for i, r in enumerate(centres))).first()
+        share = F.lit(None).cast("double")
+        for i, r in enumerate(centres):
+            share = F.when(F.col(cluster) == F.lit(r[cluster]), gap(r) / (totals[f"t{i}"] or 1.0)).otherwise(share)
+        out = df.withColumn("probability", share)
+    elif strategy == "density":
+        scores = {r.label: r.score for r in bounded_rows(_log_densities(df, cols, cluster, bandwidth, most), MAX_CLUSTERS, "clusters")}
+        scores[-1] = 0.0
+        total = sum(scores.values()) or 1.0
+        known = F.create_map(*(F.lit(x) for k, v in scores.items() for x in (int(k), 1 - v / total)))
+        out = df.withColumn("probability", known[F.col(cluster).cast("int")])
     else:
         return df.withColumn("probability", F.lit(0.0)).withColumn("outlier", F.lit(False))
     bar = threshold if threshold is not None else out.agg(F.avg("probability")).first()[0]

@@ -75,23 +75,23 @@ class MarkovChain:
         return v
 
     def chained(self, sequence: Sequence[str], vector: np.ndarray | None = None) -> tuple[list[float], np.ndarray]:
-        """Probability of each state by carrying the first state's vector along; and the last vector, from which a later call may go on."""
-        v, out = vector, []
-        for i, s in enumerate(sequence):
-            v = self.start(s) if v is None else v @ self.matrix if i or vector is not None else v
-            out.append(float(v[self.index[s]]) if s in self.index else 0.0)
-        return out, v if v is not None else self.start(None)
+        """Probability of each state by carrying the first state's vector along, 0 for and right after an unknown state; and the last vector, from which a later call, begun with the last state, goes on."""
+        v, out = self.start(sequence[0] if len(sequence) else None) if vector is None else vector, [1.0] * min(1, len(sequence))
+        for a, b in zip(sequence, sequence[1:]):
+            v = v @ self.matrix
+            out.append(float(v[self.index[b]]) if a in self.index and b in self.index else 0.0)
+        return out, v
 
     def predict_next(self, vector: np.ndarray) -> list[str]:
         ahead = vector @ self.matrix
         return [s for s, p in zip(self.states, ahead) if len(ahead) and p == ahead.max() and p > 0]
 
-    def likely(self, sequence: Sequence[str]) -> list[bool]:
-        """Whether each further state was a most probable one after the state before it."""
-        out = []
-        for a, b in zip(sequence, sequence[1:]):
-            row = self.matrix[self.index[a]] if a in self.index else np.zeros(len(self.states))
-            out.append(bool(len(row) and row.max() > 0 and b in self.index and row[self.index[b]] == row.max()))
+    def likely(self, sequence: Sequence[str], first: str | None = None) -> list[bool]:
+        """Whether each state is a most probable one of the carried vector; the first state is held against the state ``first``."""
+        out, v = [bool(first is not None and sequence[0] == first)] if len(sequence) else [], self.start(sequence[0] if len(sequence) else None)
+        for b in sequence[1:]:
+            v = v @ self.matrix
+            out.append(bool(v.max() > 0 and b in self.index and np.isclose(v[self.index[b]], v.max())))
         return out
 
 

@@ -232,7 +232,7 @@ def tag_decode(spark, d):
 
 @query("""WITH m AS (SELECT l_returnflag, avg(l_extendedprice) AS mean, median(l_extendedprice) AS med FROM lineitem GROUP BY 1),
 x AS (SELECT l_returnflag, abs(l_extendedprice - mean) AS am, abs(l_extendedprice - med) AS ad, med FROM lineitem JOIN m USING (l_returnflag))
-SELECT l_returnflag, round(avg(am), 4) AS mean_ad, round(median(ad), 4) AS median_ad, round(median(ad) FILTER (WHERE ad <= med), 4) AS mad_left, round(median(ad) FILTER (WHERE ad > med), 4) AS mad_right FROM x GROUP BY 1""")
+SELECT l_returnflag, round(avg(am), 4) AS mean_ad, round(median(ad), 4) AS median_ad, round(median(ad) FILTER (WHERE ad <= med), 4) AS mad_left, round(median(ad) FILTER (WHERE ad >= med), 4) AS mad_right FROM x GROUP BY 1""")
 def deviation_measures(spark, d):
     return _rounded(S.deviations(table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice"), "l_extendedprice", ["l_returnflag"]))
 
