@@ -199,6 +199,18 @@ def test_abusive_passages(spark):
     assert X.flagged(documents, marks.limit(0)).count() == 0
 
 
+def test_first_round_sees_every_window(monkeypatch):
+    long, short = ". ".join(f"word{i} of the page" for i in range(50)), "a short page"
+    seen, fit = [], X.Model.fit
+    monkeypatch.setattr(X.Model, "fit", lambda self, found, labels, importance, **k: (seen.append((found, labels, importance)), fit(self, found, labels, importance, **k))[1])
+    X.train([long, short], [long, short, short])
+    found, labels, importance = seen[0]
+    every = [w for t in (long, short, long, short, short) for w in X.windows(t)]
+    assert found == every and len(every) == 103 and list(labels) == [1] * 51 + [0] * 52
+    assert importance[:50].sum() == pytest.approx(importance[50]) and importance[51:101].sum() == pytest.approx(importance[102])
+    assert importance[:51].sum() == pytest.approx(importance[51:].sum()) and importance.mean() == pytest.approx(1)
+
+
 def test_disguises_and_quotations():
     assert X.passages('He wrote "you fool" there') == [["he", "wrote", "there"]]
     assert ["naked"] == X.passages("n-a-k-e-d")[0][:1] and X.passages("TEEEETAS")[0] == ["tetas"] and X.passages("PL4G4")[0] == ["plaga"]

@@ -4,7 +4,7 @@ A text is cut into short windows of words in its writer's own voice (markup and
 window is the mean of its words, a word the mean of the embeddings of its character n-grams, so unseen spellings share
 vectors with known ones. Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled documents. As a
 label stands for a whole document and isn't always right, training has two rounds: the first takes every window of a marked
-document as positive; the second only its highest window, if that stands out, against the highest and some other windows of
+document as positive and every one of an unmarked document as negative, each document weighing the same; the second only its highest window, if that stands out, against the highest and some other windows of
 unmarked documents, of which those that look marked are left out. A document's score is that of its highest window.
 """
 
@@ -187,6 +187,15 @@ def _best_bar(yes: np.ndarray, no: np.ndarray) -> float:
     return float(scores[best] if best + 1 == len(scores) else (scores[best] + scores[best + 1]) / 2)
 
 
+def first_round(yes: list[list], no: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
+    """Every window of every document, its label and its weight: documents of one label weigh the same whatever their length, both labels half of all; the mean weight is 1."""
+    found = [w for d in (*yes, *no) for w in d]
+    sizes = np.array([len(d) for d in (*yes, *no)])
+    marks = np.r_[np.ones(len(yes), int), np.zeros(len(no), int)]
+    share = np.where(marks == 1, 0.5 / len(yes), 0.5 / len(no)) / sizes * len(found)
+    return found, np.repeat(marks, sizes), np.repeat(share, sizes).astype(np.float32)
+
+
 def train(marked: Iterable[str], unmarked: Iterable[str], seed: int = 7) -> Scorer:
     """A scorer from whole texts of marked and unmarked documents, see the module."""
     random = np.random.default_rng(seed)
@@ -198,10 +207,8 @@ def train(marked: Iterable[str], unmarked: Iterable[str], seed: int = 7) -> Scor
         return [found[i] for i in random.permutation(len(found))[:n]]
 
     first = Model(seed)
-    pos, neg = [w for d in yes for w in some(d, 16)], [w for d in no for w in some(d, 8)]
-    labels = np.r_[np.ones(len(pos), int), np.zeros(len(neg), int)]
-    share = np.where(labels == 1, 0.5 / len(pos), 0.5 / len(neg)) * len(labels)
-    first.fit(pos + neg, labels, share.astype(np.float32), epochs=2, rate=0.1)
+    found, labels, share = first_round(yes, no)
+    first.fit(found, labels, share, epochs=2, rate=0.1)
     judge = first.scorer()
     for turn in range(2):
         ranked_yes = [sorted(((judge.window(w), w) for w in d), key=lambda x: -x[0]) for d in yes]
