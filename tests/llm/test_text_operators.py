@@ -68,6 +68,35 @@ def test_copies(spark):
     assert D.formatted_copies(posts(spark, []), raw.limit(0)).count() == 0
 
 
+def test_copy_counts_of_texts_and_lines(spark):
+    from collections import defaultdict
+
+    r = random.Random(4)
+    shout = lambda t: r.choice([t, t.upper(), t.replace(" ", ", "), f" {t} !"])
+    base = ["un chat", "chat un", "nu chat", "le chien dort", "chien le dort", "seul"]  # several share letters, not order
+    texts = [shout(r.choice(base)) for _ in range(60)] + ["tout autre", None, "", "...", "..."]
+    raw = []
+    for _ in range(60):
+        t, n = shout(r.choice(base)), r.randint(1, 3)
+        raw.append(r.choice([f'{{"text": "{t}", "class": "c", "author": "u", "likes": {n}, "shares": 1, "lang": "fr"}},', f'LANG="fr"; shares="1"; likes="{n}"; author="U"; class="C"; text="{t}"']))
+    raw += [None, "", "text;class;author", "-- end --", "-- end --"]
+    lines = spark.createDataFrame([(100 + i, x) for i, x in enumerate(raw)], "record_id long, record string")
+    key = lambda t: re.sub(r"[\W_]+", "", t or "").lower()
+    sets = defaultdict(list)
+    for i, t in enumerate(texts):
+        sets["task2_train", key(t) or i].append(i)
+    for i, x in enumerate(raw, 100):
+        sets["task2_raw", tuple(map(key, f)) if (f := D.fields(x)) else i].append(i)
+    want = sorted((tbl, min(ids), len(ids)) for (tbl, _), ids in sets.items())
+    got = sorted((x.tbl, x.first_id, x.copies) for x in D.copy_counts(posts(spark, texts), lines).collect())
+    assert got == want and sum(n > 1 for t, _, n in want if t == "task2_raw") > 5
+    copies = D.formatted_copies(posts(spark, texts), lines).collect()
+    assert len(copies) == sum(n - 1 for _, _, n in want)
+    only = sorted((x.tbl, x.first_id, x.copies) for x in D.copy_counts(None, lines).collect())
+    assert only == [x for x in want if x[0] == "task2_raw"]
+    assert D.copy_counts(posts(spark, []), lines.limit(0)).count() == 0
+
+
 # -- 5
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
@@ -59,40 +60,53 @@ def _histogram(key: str) -> int:
     return xxhash.xxh64_intdigest("".join(sorted(key))) - (1 << 63)
 
 
-def text_keys(df: DataFrame, speller: Speller, key: str, text: str) -> DataFrame:
-    """(id, size, histogram, form) of each text with a letter or digit."""
+def _rows(made: list[tuple], bare: bool) -> Iterator[pd.DataFrame]:
+    """A frame of the (id, form) that have a form; if ``bare``, another of those that have none, with nulls."""
+    kept = [(i, k) for i, k in made if k]
+    if kept:
+        yield pd.DataFrame({"id": [i for i, _ in kept], "size": [len(k) for _, k in kept], "histogram": [_histogram(k) for _, k in kept], "form": [k for _, k in kept]})
+    if bare and (rest := [i for i, k in made if not k]):
+        yield pd.DataFrame({"id": rest, "size": None, "histogram": None, "form": None})
+
+
+def text_keys(df: DataFrame, speller: Speller, key: str, text: str, bare: bool = False) -> DataFrame:
+    """(id, size, histogram, form) of each text with a letter or digit; if ``bare``, of the others with nulls."""
 
     def batches(it):
         for b in it:
-            made = [(i, k) for i, t in zip(b["id"], b["t"]) if t is not None and (k := core(speller.form(t)))]
-            if made:
-                yield pd.DataFrame({"id": [i for i, _ in made], "size": [len(k) for _, k in made], "histogram": [_histogram(k) for _, k in made], "form": [k for _, k in made]})
+            yield from _rows([(i, None if t is None else core(speller.form(t))) for i, t in zip(b["id"], b["t"])], bare)
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInPandas(batches, "id long, size int, histogram long, form string")
 
 
-def line_keys(df: DataFrame, speller: Speller, key: str, line: str) -> DataFrame:
-    """(id, size, histogram, form) of each raw line with all six fields; the form holds them in fixed order."""
+def line_keys(df: DataFrame, speller: Speller, key: str, line: str, bare: bool = False) -> DataFrame:
+    """(id, size, histogram, form) of each raw line with all six fields, the form holding them in fixed order; if ``bare``, of the others with nulls."""
 
     def batches(it):
         for b in it:
-            made = [(i, "\x1f".join(core(speller.form(x)) for x in f)) for i, t in zip(b["id"], b["t"]) if (f := fields(t))]
-            if made:
-                yield pd.DataFrame({"id": [i for i, _ in made], "size": [len(k) for _, k in made], "histogram": [_histogram(k) for _, k in made], "form": [k for _, k in made]})
+            yield from _rows([(i, "\x1f".join(core(speller.form(x)) for x in f) if (f := fields(t)) else None) for i, t in zip(b["id"], b["t"])], bare)
 
     return df.select(F.col(key).cast("long").alias("id"), F.col(line).cast("string").alias("t")).mapInPandas(batches, "id long, size int, histogram long, form string")
 
 
+#: What rows of one set of copies share: the table and the invariants of the first stage.
+PARTS = ["tbl", "size", "histogram"]
+
+
+def shared_parts(keys: DataFrame, parts: list[str]) -> DataFrame:
+    """The parts of several rows. Counting is pre-aggregated, so a class with a third of all rows costs one counter a task."""
+    return keys.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
 def refined(keys: DataFrame, parts: list[str]) -> DataFrame:
-    """Rows of ``keys`` (tbl, id, size, histogram, form) that share size and histogram with another row of their table: the one stage of refinement before the exact key. Counting is pre-aggregated, so a class with a third of all rows costs one counter a task."""
-    several = keys.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return keys.join(several, parts, "left_semi")
+    """Rows of ``keys`` (tbl, id, size, histogram, form) that share size and histogram with another row of their table: the one stage of refinement before the exact key."""
+    return keys.join(shared_parts(keys, parts), parts, "left_semi")
 
 
-def classes(keys: DataFrame) -> DataFrame:
-    """(tbl, form, first_id, copies) of the sets of at least two copies among ``keys``."""
-    kept = refined(keys, ["tbl", "size", "histogram"])
-    return kept.groupBy("tbl", "form").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+def classes(keys: DataFrame, least: int = 2) -> DataFrame:
+    """(tbl, form, first_id, copies) of the sets of at least ``least`` copies among the rows of ``keys`` that share their part with another."""
+    kept = refined(keys, PARTS)
+    return kept.groupBy("tbl", "form").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= least)
 
 
 def copies(keys: DataFrame) -> DataFrame:
@@ -102,28 +116,35 @@ def copies(keys: DataFrame) -> DataFrame:
     return keys.select("tbl", "id", "form").join(found, ["tbl", "form"]).where("id <> first_id").select("tbl", "first_id", F.col("id").alias("copy_id"))
 
 
-def formatted_copies(texts: DataFrame | None, lines: DataFrame | None, key: str = "id", text: str = "text", line_key: str = "record_id", line: str = "record", names: tuple[str, str] = ("task2_train", "task2_raw")) -> DataFrame:
-    """Sets of copies within a table of texts and within a table of raw lines, see ``copies``.
-
-    Nulls, blanks, texts without a letter or digit and lines without all six fields are in no set; exact copies count;
-    other columns don't matter; an empty table gives no rows. Sets don't cross tables.
-    """
+def _keys(texts: DataFrame | None, lines: DataFrame | None, key: str, text: str, line_key: str, line: str, names: tuple[str, str], bare: bool) -> DataFrame:
+    """(tbl, id, size, histogram, form) of the texts and of the lines."""
     parts, counts = [], {}
     if texts is not None:
         require(texts, key, text)
         counts = bigram_counts(texts, text)
-        parts.append(text_keys(texts, Speller(counts), key, text).select(F.lit(names[0]).alias("tbl"), "*"))
+        parts.append(text_keys(texts, Speller(counts), key, text, bare).select(F.lit(names[0]).alias("tbl"), "*"))
     if lines is not None:
         require(lines, line_key, line)
-        parts.append(line_keys(lines, Speller(counts or bigram_counts(lines, line)), line_key, line).select(F.lit(names[1]).alias("tbl"), "*"))
-    return copies(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
-
-
-def copy_counts(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """One record for each set of copies, or single text, with its number of copies: (first_id, copies). Texts without a letter or digit are left as they are, one row each."""
-    require(texts, key, text)
-    speller = Speller(bigram_counts(texts, text))
-    keys = text_keys(texts, speller, key, text)
-    with_key = keys.groupBy("form").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).select("first_id", "copies")
-    bare = texts.select(F.col(key).cast("long").alias("id")).join(keys.select("id"), "id", "left_anti").select(F.col("id").alias("first_id"), F.lit(1).cast("long").alias("copies"))
-    return with_key.unionByName(bare)
+        parts.append(line_keys(lines, Speller(counts or bigram_counts(lines, line)), line_key, line, bare).select(F.lit(names[1]).alias("tbl"), "*"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def formatted_copies(texts: DataFrame | None, lines: DataFrame | None, key: str = "id", text: str = "text", line_key: str = "record_id", line: str = "record", names: tuple[str, str] = ("task2_train", "task2_raw")) -> DataFrame:
+    """Sets of copies within a table of texts and within a table of raw lines, see ``copies``.
+
+    Nulls, blanks, texts without a letter or digit and lines without all six fields are in no set; exact copies count;
+    other columns don't matter; an empty table gives no rows. Sets don't cross tables.
+    """
+    return copies(_keys(texts, lines, key, text, line_key, line, names, False))
+
+
+def copy_counts(texts: DataFrame | None, lines: DataFrame | None = None, key: str = "id", text: str = "text", line_key: str = "record_id", line: str = "record", names: tuple[str, str] = ("task2_train", "task2_raw")) -> DataFrame:
+    """One record for each set of copies, or single text or line, with its number of copies: (tbl, first_id, copies).
+
+    Sets are those of ``formatted_copies``; only rows that share their part with another are grouped by the exact key.
+    Nulls, blanks, texts without a letter or digit and lines without all six fields are left as they are, one row each, so
+    that the copies of a table add up to its rows.
+    """
+    keys = written(_keys(texts, lines, key, text, line_key, line, names, True))
+    alone = keys.join(shared_parts(keys, PARTS), PARTS, "left_anti").select("tbl", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("copies"))
+    return classes(keys, 1).select("tbl", "first_id", "copies").unionByName(alone)

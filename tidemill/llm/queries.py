@@ -34,7 +34,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.copy_counts(table(spark, folder, "task2_train"))
+    return duplicates.copy_counts(table(spark, folder, "task2_train"), table(spark, folder, "task2_raw"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
