@@ -1,6 +1,8 @@
 """Fixed examples of published behaviour, retyped as data."""
 
+import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -173,6 +175,69 @@ def test_texts(spark):
         X.NearestText(10, 3, 10, 3)
 
 
+def test_text_queries_over_whole_tables(spark, tmp_path):
+    import random
+    from collections import Counter
+
+    from tidemill.plans.reference_queries import QUERIES
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdeé👍") for _ in range(r.randint(2, 6)))
+    items = [(i, "s", " ".join(word() for _ in range(30))) for i in range(25)]
+    texts = [None, "", "ab", "abc", "x" * 5000, items[3][2]] + [items[0][2]] * 3
+    for _ in range(40):  # parts of an item between other words
+        w = r.choice(items)[2].split()
+        texts.append(" ".join([word() for _ in range(r.randint(0, 9))] + w[: r.randint(10, 30)] + ["boiler plate"] * r.randint(0, 20)))
+    docs = list(enumerate(texts))
+    spark.createDataFrame(items, "item_id long, suite string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t and t[:120]) for i, t in docs], "id long, text string").write.parquet(f"{tmp_path}/task2_train.parquet")
+    rows = lambda name: [tuple(x) for x in QUERIES[name](spark, str(tmp_path)).collect()]
+    grams = lambda t: [t[i : i + 3] for i in range(len(t) - 2)]
+
+    def signed(t):
+        m = [float(min(2**63 - 1, min(S.text_hash(g, s) for g in set(grams(t))))) for s in range(50)]
+        return [(b, m[2 * b] + m[2 * b + 1]) for b in range(25)]
+
+    def alike(a, b):
+        p, q = Counter(a), Counter(b)
+        return sum((p & q).values()) / sum((p | q).values())
+
+    index = {t: set(signed(t)) for _, _, t in items}
+    want = {}
+    for i, t in docs:
+        if t and grams(t):
+            met = sorted(((-n, c) for c, e in index.items() if (n := len(e & set(signed(t))))))[:10]
+            if met:
+                score, _, match = max((alike(t, c), -n, c) for n, c in met)
+                want[i, t] = (match, pytest.approx(score))
+    got = {(i, q): (m, s) for i, q, m, s in rows("lsh_nearest")}
+    assert got == want and len(want) > 30 and any(q != m for (_, q), (m, _) in got.items())
+
+    assert sorted(rows("document_shingles")) == [(i, None if t is None else grams(t)) for i, t in docs]
+    clean = lambda t: t if t is None else " ".join(t.lower().split())
+    assert sorted(rows("document_cleaned_text")) == [(i, clean(t)) for i, t in docs]
+
+    sets = {}
+    for i, t in docs:
+        if t and (g := frozenset(grams(t[:120]))):
+            sets.setdefault(g, i)
+    every = [(*sorted((i, j)), round(len(a & b) / len(a | b), 4)) for (a, i), (b, j) in itertools.combinations(sets.items(), 2) if len(a & b) / len(a | b) >= 0.6]
+    assert sorted(rows("post_jaccard_pairs")) == sorted(every) and every
+
+    split = {i: re.findall(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", t or "") for i, t in docs}
+    known = {}
+    for i in sorted(split):
+        for token in sorted(set(split[i])):
+            known.setdefault(token, len(known) + 1)
+    ids = {i: [known[x] for x in w] for i, w in split.items()}
+    assert dict(rows("token_ids")) == ids
+    sizes = [len(x) for x in ids.values()]
+    mean = sum(sizes) / len(sizes)
+    n = round(mean + 2 * (sum((x - mean) ** 2 for x in sizes) / len(sizes)) ** 0.5)
+    assert dict(rows("padded_sequences")) == {i: ([0] * n + x)[-n:] for i, x in ids.items()}
+
+
 def test_missing_values_and_sampling(spark):
     df = spark.createDataFrame([(0, "a", None), (1, "a", 2.0), (2, "a", 2.0), (3, "b", None), (4, None, None)], "i int, g string, x double")
     assert column(R.fill_statistic(df, ["x"], "median", ["g"]), "x") == [2.0, 2.0, 2.0, None, None]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,9 +16,10 @@ PUNCTUATION = "!\"$%&()*+,-./:;<=>?[\\]^_`{|}~'"
 
 
 def shingles(text: Column, size: int = 3) -> Column:
-    """Character n-grams in order; none for a text shorter than ``size``, null for null."""
+    """Character n-grams in order; none for a text shorter than ``size``, null for null. The text is parted once, so that long texts take time in proportion."""
     n = F.length(text)
-    made = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+    joined = lambda chars: F.transform(F.sequence(F.lit(0), n - size), lambda i: F.concat(*(F.get(chars, i + j) for j in range(size))))
+    made = F.get(F.transform(F.array(F.split(text, "")), joined), F.lit(0))
     return F.when(text.isNull(), None).when(n >= size, made).otherwise(F.array().cast("array<string>"))
 
 
@@ -37,23 +38,53 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\w+(?='\w)|'\w+|\w+|[^\w\s]"), F.lit(0))
 
 
+class _Minhash:
+    """Minhashes of sets of texts; the hashes of texts seen before are kept, at most ENTRIES numbers."""
+
+    ENTRIES = 4_000_000
+
+    def __init__(self, seeds: Sequence[int]):
+        self.seeds, self.most = list(seeds), max(1, self.ENTRIES // max(1, len(seeds)))
+        self.rows, self.places = np.empty((1024, len(self.seeds))), {}
+
+    def __call__(self, items: set[str]) -> list[float]:
+        cap = (1 << 63) - 1
+        if len(self.places) + len(items) > self.most:
+            self.places.clear()
+        for x in items - self.places.keys():
+            if (at := len(self.places)) == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            coded = x.encode()
+            self.rows[at] = [min(cap, xxhash.xxh64_intdigest(coded, seed=s)) for s in self.seeds]
+            self.places[x] = at
+        return self.rows[[self.places[x] for x in items]].min(axis=0).tolist()
+
+
 def seeded_hashes(texts: Column, seeds: Sequence[int]) -> Column:
     """Minhashes of an array of texts: for each seed the least 64-bit xxHash, capped at 2^63 - 1, as a double; null for an empty array. One call a document, vectorised over Arrow batches."""
-    cap, seeds = (1 << 63) - 1, list(seeds)
+    seeds = list(seeds)
 
     @F.pandas_udf("array<double>")
     def minhash(arrays: pd.Series) -> pd.Series:
-        def one(items):
-            if items is None or not len(items):
-                return None
-            coded = [x.encode() for x in dict.fromkeys(items)]
-            return [float(min(cap, min(xxhash.xxh64_intdigest(x, seed=s) for x in coded))) for s in seeds]
-
-        return arrays.map(one, na_action="ignore")
+        hashes = _Minhash(seeds)
+        return arrays.map(lambda items: hashes(set(items)) if items is not None and len(items) else None, na_action="ignore")
 
     return minhash(texts)
 
 
+def shingle_hashes(text: Column, size: int, seeds: Sequence[int]) -> Column:
+    """``seeded_hashes`` of ``shingles``; the n-grams are made where they are hashed, so a batch holds the texts only. Null for texts shorter than ``size``."""
+    seeds = list(seeds)
+
+    @F.pandas_udf("array<double>")
+    def minhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = _Minhash(seeds)
+        for texts in batches:
+            yield texts.map(lambda t: hashes({t[i : i + size] for i in range(len(t) - size + 1)}) if len(t) >= size else None, na_action="ignore")
+
+    return minhash(text)
+
+
 def text_hash(text: str, seed: int) -> int:
     """The seeded 64-bit hash itself."""
     return xxhash.xxh64_intdigest(text, seed=seed)

@@ -7,12 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.common import require, small_or_plain
+from tidemill.common import require, small_or_plain, written
 from tidemill.functions.metrics import character_jaccard
-from tidemill.functions.scalars import seeded_hashes, shingles, tokens
+from tidemill.functions.scalars import shingle_hashes, shingles, tokens
 
 #: Tokens of a vocabulary sent to every executor at most.
 VOCABULARY_BROADCAST = 200_000
+#: Bands of an index, texts of an index, and candidates found, sent to every executor at most; more are joined by shuffle.
+INDEX_BROADCAST, TEXTS_BROADCAST = 200_000, 10_000
+
+
+def _digest(text: Column) -> Column:
+    """128 bits that stand for a text where it needn't travel."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
 
 
 def bands(signature: Column, hashes: int, count: int) -> Column:
@@ -36,25 +43,30 @@ class NearestText:
         self.texts: DataFrame | None = None
 
     def _entries(self, texts: DataFrame) -> DataFrame:
-        signed = texts.select("t", seeded_hashes(shingles(F.col("t"), self.size), self.seeds).alias("s")).where("s is not null")
-        return signed.select("t", F.explode(bands(F.col("s"), self.hashes, self.n_bands)).alias("e")).select("t", "e.band", "e.key")
+        """(d, band, key) of each distinct text ``t``, d its digest: the texts themselves aren't shuffled."""
+        signed = texts.select(_digest(F.col("t")).alias("d"), shingle_hashes(F.col("t"), self.size, self.seeds).alias("s")).dropDuplicates(["d"])
+        # texts without a signature go after the bands are made: a filter on it would have every text signed twice
+        return signed.select("d", F.explode(bands(F.col("s"), self.hashes, self.n_bands)).alias("e")).select("d", "e.band", "e.key").where("key is not null")
 
     def fit(self, corpus: DataFrame, text: str) -> NearestText:
         """Indexes every distinct text."""
         require(corpus, text)
         self.texts = corpus.select(F.col(text).alias("t")).where("t is not null").distinct()
-        self.index = self._entries(self.texts).withColumnRenamed("t", "candidate")
+        self.index = written(self._entries(self.texts).withColumnRenamed("d", "c"))
         return self
 
     def candidates(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         """(key, query, candidate, shared): the ``most_common`` texts of most shared bands of each query. Queries of one text are searched once."""
         if self.index is None:
             raise ValueError("fit comes first")
-        distinct = queries.select(F.col(text).alias("t")).where("t is not null").distinct()
-        met = self._entries(distinct).join(self.index, ["band", "key"]).groupBy("t", "candidate").agg(F.count(F.lit(1)).alias("shared"))
-        w = Window.partitionBy("t").orderBy(F.desc("shared"), "candidate")
-        top = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.most_common).drop("r")
-        return queries.select(F.col(key), F.col(text).alias("query")).join(top, F.col("query") == F.col("t")).select(key, "query", "candidate", "shared")
+        asked = queries.select(F.col(text).alias("t")).where("t is not null")
+        met = self._entries(asked).join(small_or_plain(self.index, INDEX_BROADCAST), ["band", "key"]).groupBy("d", "c").agg(F.count(F.lit(1)).alias("shared"))
+        texts = small_or_plain(self.texts.select(_digest(F.col("t")).alias("c"), F.col("t").alias("candidate")), TEXTS_BROADCAST)
+        # the fewest shared bands that can be among the most common: ties beyond are told apart by text
+        w = Window.partitionBy("d").orderBy(F.desc("shared"))
+        near = met.withColumn("r", F.rank().over(w)).where(F.col("r") <= self.most_common).drop("r").join(texts, "c").select("d", "shared", "candidate")
+        top = near.groupBy("d").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("less"), "candidate"))), 1, self.most_common).alias("found"))
+        return queries.select(F.col(key), F.col(text).alias("query"), _digest(F.col(text)).alias("d")).where("query is not null").join(top, "d").select(key, "query", F.explode("found").alias("f")).select(key, "query", F.col("f.candidate").alias("candidate"), (-F.col("f.less")).alias("shared"))
 
     def nearest(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         """(key, query, match, score): each query's best candidate; queries without one have no row."""

@@ -517,22 +517,38 @@ def cleaned_text(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.trim(F.regexp_replace(F.lower(F.translate("text", "@#", "")), r"\s+", " ")).alias("text"))
 
 
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(text) >= 3 THEN list_transform(range(1, len(text) - 1), lambda i: substr(text, i, 3)) ELSE [] END AS shingles FROM documents")
+def document_shingles(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.shingles(F.col("text")).alias("shingles"))
+
+
+@query()
+def document_cleaned_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.lower(F.translate("text", "@#", "")), r"\s+", " ")).alias("text"))
+
+
 @query()
 def token_ids(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", "text")
-    return X.TokenSequences().fit(b, "text", "item_id").ids(b, "item_id", "text")
+    b = table(spark, d, "documents").select("doc_id", "text")
+    return X.TokenSequences().fit(b, "text", "doc_id").ids(b, "doc_id", "text")
 
 
 @query()
 def padded_sequences(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", "text")
-    return X.TokenSequences().fit(b, "text", "item_id").transform(b, "item_id", "text")
+    b = table(spark, d, "documents").select("doc_id", "text")
+    return X.TokenSequences().fit(b, "text", "doc_id").transform(b, "doc_id", "text")
 
 
 @query()
 def lsh_nearest(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", "text")
-    return X.NearestText(50, 3, 10, 25).fit(b, "text").nearest(b, "item_id", "text")
+    """Documents searched in an index of the benchmark's items."""
+    index = X.NearestText(50, 3, 10, 25).fit(table(spark, d, "benchmark"), "text")
+    return index.nearest(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query()
+def post_jaccard_pairs(spark, d):
+    return _rounded(X.jaccard_pairs(table(spark, d, "task2_train").select("id", "text"), "id", "text", 3, 0.6))
 
 
 @query("""WITH g AS (SELECT item_id, list_distinct(list_transform(range(1, len(text) - 1), lambda i: substr(text, i, 3))) AS s FROM benchmark WHERE len(text) >= 3), k AS (SELECT list_sort(s) AS s, min(item_id) AS item_id FROM g GROUP BY 1),
