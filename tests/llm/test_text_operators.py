@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,15 +232,33 @@ def test_abusive_passages(spark):
 def test_first_round_sees_every_window(monkeypatch):
     long, short = ". ".join(f"word{i} of the page" for i in range(50)), "a short page"
     seen, fit = [], X.Model.fit
-    monkeypatch.setattr(X.Model, "fit", lambda self, found, labels, importance, **k: (seen.append((found, labels, importance)), fit(self, found, labels, importance, **k))[1])
-    X.train([long, short], [long, short, short])
-    found, labels, importance = seen[0]
+    monkeypatch.setattr(X.Model, "fit", lambda self, vocabulary, found, labels, importance, **k: (seen.append((vocabulary, found, labels, importance)), fit(self, vocabulary, found, labels, importance, **k))[1])
+    X.first_judge([X.windows(long), X.windows(short)], [X.windows(t) for t in (long, short, short)])
+    vocabulary, found, labels, importance = seen[0]
     every = [w for t in (long, short, long, short, short) for w in X.windows(t)]
-    assert found == every and len(every) == 103 and list(labels) == [1] * 51 + [0] * 52
+    word = {n: w for w, n in vocabulary.number.items()}
+    assert [[word[n] for n in row if n] for row in found] == every and len(every) == 103 and list(labels) == [1] * 51 + [0] * 52
     assert importance[:50].sum() == pytest.approx(importance[50]) and importance[51:101].sum() == pytest.approx(importance[102])
     assert importance[:51].sum() == pytest.approx(importance[51:].sum()) and importance.mean() == pytest.approx(1)
 
 
+def test_bar_at_the_labels_share():
+    yes, no = np.array([3.0, 2.0, 1.0]), np.array([2.5, 0.5, 0.0])
+    assert 0.5 < X._best_bar(yes, no, 1.0) < 1.0
+    assert 2.5 < X._best_bar(yes, no, 10.0) < 3.0  # the one unmarked document above stands for ten
+
+
+def test_scorer_saved_and_loaded(spark, tmp_path):
+    rows = _toy(60, 3)
+    documents = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, m) for i, (_, m) in enumerate(rows)] * 2, "doc_id long, toxic int")  # repeated labels
+    judge = X.fitted(documents, marks)
+    judge.save(spark, str(tmp_path / "scorer"))
+    again = X.Scorer.load(spark, str(tmp_path / "scorer"))
+    want = {r.doc_id: r.score for r in X.scored(documents, judge).collect()}
+    assert {r.doc_id: r.score for r in X.scored(documents, again).collect()} == want and len(want) == 60
+
+
 def test_disguises_and_quotations():
     assert X.passages('He wrote "you fool" there') == [["he", "wrote", "there"]]
     assert ["naked"] == X.passages("n-a-k-e-d")[0][:1] and X.passages("TEEEETAS")[0] == ["tetas"] and X.passages("PL4G4")[0] == ["plaga"]

@@ -3,40 +3,45 @@
 A text is cut into short windows of words in its writer's own voice (markup and quotations taken out, disguises undone). A
 window is the mean of its words, a word the mean of the embeddings of its character n-grams, so unseen spellings share
 vectors with known ones. Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled documents. As a
-label stands for a whole document and isn't always right, training has two rounds: the first takes every window of a marked
-document as positive and every one of an unmarked document as negative, each document weighing the same; the second only its highest window, if that stands out, against the highest and some other windows of
-unmarked documents, of which those that look marked are left out. A document's score is that of its highest window.
+label stands for a whole document and isn't always right, training has rounds: the first takes every window of some marked
+documents as positive and every one of as many unmarked documents as negative, each document weighing the same; later ones go
+through all labelled documents of the sample and take the highest windows of marked ones, if they stand out, against the
+highest and some other windows of unmarked ones, of which those that look marked are left out. The last round fits one model
+for each fold of the documents, on the other folds; each model's bar is set on the fold it didn't see, at the labels' own
+share of marked documents, and the mean of the models is the scorer. A document's score is that of its highest window.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.common import require, small_or_plain
+from tidemill.common import require, small_or_plain, written
 from tidemill.llm.leakage import plain
 from tidemill.llm.lookalike import shape
 
-#: Labelled documents used for fitting at most: marked and unmarked ones, taken in order of a hash of their ids.
-MARKED, UNMARKED = 1200, 2800
+#: Labelled documents used for fitting at most: marked and unmarked ones, and of either those whose every window is in round one, taken in order of a hash of their ids.
+MARKED, UNMARKED, FIRST = 4000, 16_000, 1000
+#: Later rounds, models that are averaged, highest and other windows of a document in later rounds, share of the unmarked documents that a marked one must exceed to stand out.
+ROUNDS, FOLDS, HIGHEST, OTHERS, STANDS_OUT = 2, 3, 3, 3, 0.97
 #: Buckets of n-grams, width of the embeddings, n-gram sizes, words of a window, step between windows; a window counts as at least LEAST words long, so that a lone name weighs little.
 BUCKETS, WIDTH, GRAMS, WINDOW, STEP, LEAST = 1 << 16, 8, (3, 4, 5), 8, 4, 5
 #: Steps of training at least.
 STEPS = 400
-#: Labels sent to every executor at most; more are joined by shuffle.
-LABELS_BROADCAST = 200_000
 
 # Characters that stand in for letters.
 _LEET = str.maketrans("4301$@57", "aeoisast")
 # Laughter, which says nothing about a passage.
 LAUGHTER = {"lol", "mdr", "ptdr", "haha", "jaja", "xd"}
-_QUOTED = re.compile(r"«[^«»\n]{0,400}»|“[^“”\n]{0,400}”|„[^„“”\n]{0,400}[“”]|(?<!\w)\"[^\"\n]{0,400}\"|\{\{quote\|[^{}]*\}\}|<blockquote>.*?</blockquote>", re.IGNORECASE | re.DOTALL)
+_QUOTED = re.compile(r"«[^«»\n]*»|“[^“”\n]*”|„[^„“”\n]*[“”]|(?<!\w)\"[^\"\n]*\"|\{\{quote\|[^{}]*\}\}|<blockquote>.*?</blockquote>", re.IGNORECASE | re.DOTALL)
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_][.\-_* ]){3,}[^\W_](?!\w)")
 _WORD = re.compile(r"[^\W_]+(?:[#*$@'’][^\W_]+)*")
 _MIXED = re.compile(r"[^\W\d_]")
@@ -83,6 +88,26 @@ def grams(word: str) -> np.ndarray:
     return np.array(sorted(xxhash.xxh32_intdigest(g) % BUCKETS for g in found), dtype=np.int32)
 
 
+class Vocabulary:
+    """Words by number with the buckets of their n-grams, flat; number 0 is no word."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {"": 0}
+        self.parts: list[np.ndarray] = [np.zeros(1, np.int32)]
+
+    def matrix(self, found: list[list[str]]) -> np.ndarray:
+        """One row of WINDOW word numbers for each window."""
+        out = np.zeros((len(found), WINDOW), np.int32)
+        for i, words in enumerate(found):
+            for j, w in enumerate(words):
+                n = self.number.get(w)
+                if n is None:
+                    n = self.number[w] = len(self.parts)
+                    self.parts.append(grams(w))
+                out[i, j] = n
+        return out
+
+
 class Model:
     """Embeddings (BUCKETS x WIDTH) and softmax weights (WIDTH x 2, bias 2), trained by stochastic gradients with a step size of its own for each row."""
 
@@ -91,46 +116,48 @@ class Model:
         self.embeddings = self.random.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH
         self.weights, self.bias = self.random.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
         self.paid, self.paid_softmax = np.full(BUCKETS, 1e-6, np.float32), np.full((WIDTH + 1, 2), 1e-6, np.float32)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _bag(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat buckets, the share of each in its window, and where windows begin."""
-        ids, shares, starts, at = [], [], [], 0
-        for w in found:
-            starts.append(at)
-            for word in w:
-                if (g := self.known.get(word)) is None:
-                    g = self.known[word] = grams(word)
-                ids.append(g)
-                shares.append(np.full(len(g), 1 / (len(g) * max(len(w), LEAST)), np.float32))
-                at += len(g)
-        return np.concatenate(ids), np.concatenate(shares), np.array(starts)
-
-    def fit(self, found: list[list[str]], labels: np.ndarray, importance: np.ndarray, epochs: int, rate: float, batch: int = 256) -> None:
-        """At least ``epochs`` rounds over the windows, and STEPS steps where these are few."""
+
+    def fit(self, vocabulary: Vocabulary, found: np.ndarray, labels: np.ndarray, importance: np.ndarray, epochs: int, rate: float, batch: int = 256) -> Model:
+        """At least ``epochs`` rounds over the windows, and STEPS steps where these are few. Words that a batch repeats are looked up once."""
+        sizes = np.array([len(g) for g in vocabulary.parts])
+        flat, starts = np.concatenate(vocabulary.parts), np.r_[0, np.cumsum(sizes)[:-1]]
+        words_of = np.maximum((found > 0).sum(axis=1), LEAST).astype(np.float32)
         for _ in range(max(epochs, -(-STEPS * batch // len(found)))):
             order = self.random.permutation(len(found))
             for lo in range(0, len(order), batch):
                 pick = order[lo : lo + batch]
-                ids, shares, starts = self._bag([found[i] for i in pick])
-                mean = np.add.reduceat(self.embeddings[ids] * shares[:, None], starts, axis=0)
+                used, place = np.unique(found[pick], return_inverse=True)
+                place = place.reshape(len(pick), WINDOW)
+                n = sizes[used]
+                ends = np.cumsum(n)
+                at = np.arange(ends[-1]) + np.repeat(starts[used] - np.r_[0, ends[:-1]], n)
+                ids = flat[at]
+                word = np.add.reduceat(self.embeddings[ids], np.r_[0, ends[:-1]], axis=0) / n[:, None]
+                if used[0] == 0:
+                    word[0] = 0
+                mean = word[place].sum(axis=1) / words_of[pick, None]
                 logits = mean @ self.weights + self.bias
                 p = np.exp(logits - logits.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(pick)), labels[pick]] -= 1
-                p *= importance[pick][:, None]
-                p /= len(pick)
-                back = p @ self.weights.T
-                used, place = np.unique(ids, return_inverse=True)
-                step = np.zeros((len(used), WIDTH), np.float32)
-                np.add.at(step, place, shares[:, None] * np.repeat(back, np.diff(np.r_[starts, len(ids)]), axis=0))
-                self.paid[used] += (step**2).mean(axis=1)
-                self.embeddings[used] -= rate * step / np.sqrt(self.paid[used])[:, None]
-                softmax = np.vstack([mean.T @ p, p.sum(axis=0)])
+                p *= importance[pick][:, None] / len(pick)
+                back = (p @ self.weights.T) / words_of[pick, None]
+                each = np.repeat(back, WINDOW, axis=0)
+                to_word = np.stack([np.bincount(place.ravel(), each[:, k], len(used)) for k in range(WIDTH)], axis=1)
+                if used[0] == 0:
+                    to_word[0] = 0
+                to_part = np.repeat(to_word / n[:, None], n, axis=0)
+                turn = np.argsort(ids, kind="stable")
+                edge = np.flatnonzero(np.r_[True, np.diff(ids[turn]) > 0])
+                rows, step = ids[turn[edge]], np.add.reduceat(to_part[turn], edge, axis=0).astype(np.float32)
+                self.paid[rows] += (step**2).mean(axis=1)
+                self.embeddings[rows] -= rate * step / np.sqrt(self.paid[rows])[:, None]
+                softmax = np.vstack([mean.T @ p, p.sum(axis=0)]).astype(np.float32)
                 self.paid_softmax += softmax**2
                 softmax *= rate / np.sqrt(self.paid_softmax)
                 self.weights -= softmax[:-1]
                 self.bias -= softmax[-1]
+        return self
 
     def scorer(self) -> Scorer:
         turn = self.weights[:, 1] - self.weights[:, 0]
@@ -144,6 +171,7 @@ class Scorer:
         self.buckets, self.bias = buckets, bias
         self.known: dict[str, float] = {}
         self.raw: dict[str, float] = {}
+        self.windows: dict[str, float] = {}
 
     def word(self, w: str) -> float:
         found = self.known.get(w)
@@ -162,8 +190,26 @@ class Scorer:
             found = self.raw[w] = self.word(_word(w))
         return found
 
-    def window(self, words: list[str]) -> float:
-        return sum(map(self.word, words)) / max(len(words), LEAST) + self.bias
+    def joined(self, window: str) -> float:
+        """The score of a window given as words with blanks between; documents share many."""
+        found = self.windows.get(window)
+        if found is None:
+            if len(self.windows) > 200_000:
+                self.windows.clear()
+            words = window.split(" ")
+            found = self.windows[window] = sum(map(self.word, words)) / max(len(words), LEAST) + self.bias
+        return found
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the scorer as a Parquet table of one row, replacing what is there."""
+        row = (bytearray(self.buckets.astype("<f4").tobytes()), self.bias)
+        spark.createDataFrame([row], "buckets binary, bias double").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Scorer:
+        """A scorer written by ``save``."""
+        row = spark.read.parquet(path).first()
+        return Scorer(np.frombuffer(bytes(row.buckets), "<f4").astype(np.float32), row.bias)
 
     def text(self, text: str | None) -> float:
         """Log-odds of the highest window; minus infinity for a text without words."""
@@ -177,75 +223,144 @@ class Scorer:
         return best
 
 
-def _best_bar(yes: np.ndarray, no: np.ndarray) -> float:
-    """The bar of highest F1 between the documents' scores, in the middle of its gap."""
+def _best_bar(yes: np.ndarray, no: np.ndarray, share: float) -> float:
+    """The bar of highest F1 between the documents' scores, in the middle of its gap; an unmarked document counts ``share`` times, as it stands for that many among the labels for each that a marked one stands for."""
     scores, labels = np.r_[yes, no], np.r_[np.ones(len(yes)), np.zeros(len(no))]
     order = np.argsort(-scores, kind="stable")
-    scores, hits = scores[order], np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(scores) + 1) + len(yes))
+    scores, labels = scores[order], labels[order]
+    hits = np.cumsum(labels)
+    f1 = 2 * hits / (np.cumsum(np.where(labels == 1, 1.0, share)) + len(yes))
     best = int(np.argmax(f1))
     return float(scores[best] if best + 1 == len(scores) else (scores[best] + scores[best + 1]) / 2)
 
 
-def first_round(yes: list[list], no: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
-    """Every window of every document, its label and its weight: documents of one label weigh the same whatever their length, both labels half of all; the mean weight is 1."""
-    found = [w for d in (*yes, *no) for w in d]
+def _balanced(labels: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Weights of mean 1, in proportion to ``each`` within a label, by which both labels are half of all."""
+    each = each.astype(float)
+    for label in (0, 1):
+        each[labels == label] *= 0.5 / max(each[labels == label].sum(), 1e-300)
+    return (each * len(labels)).astype(np.float32)
+
+
+def first_judge(yes: list[list], no: list[list], seed: int = 7) -> Scorer:
+    """Round one: every window of every document of the first sample with its document's label."""
+    vocabulary = Vocabulary()
+    found = vocabulary.matrix([w for d in (*yes, *no) for w in d])
     sizes = np.array([len(d) for d in (*yes, *no)])
-    marks = np.r_[np.ones(len(yes), int), np.zeros(len(no), int)]
-    share = np.where(marks == 1, 0.5 / len(yes), 0.5 / len(no)) / sizes * len(found)
-    return found, np.repeat(marks, sizes), np.repeat(share, sizes).astype(np.float32)
+    labels = np.repeat(np.r_[np.ones(len(yes), int), np.zeros(len(no), int)], sizes)
+    return Model(seed).fit(vocabulary, found, labels, _balanced(labels, 1 / np.repeat(sizes, sizes)), epochs=2, rate=0.1).scorer()
+
+
+def standing_out(judge: Scorer, found: list[str], key: int) -> tuple[list[str], list[float], list[str]]:
+    """A document's highest windows with their scores, highest first, and some of the others, drawn by ``key``."""
+    ranked = sorted(((judge.joined(w), w) for w in found), key=lambda x: (-x[0], x[1]))
+    rest = [w for _, w in ranked[HIGHEST:]]
+    return [w for _, w in ranked[:HIGHEST]], [s for s, _ in ranked[:HIGHEST]], random.Random(key).sample(rest, min(OTHERS, len(rest)))
+
+
+def later_judges(mined: list[tuple], models: int, lenient: bool, seed: int) -> list[Scorer]:
+    """A judge for each fold: either one model for all or, with FOLDS ``models``, one fitted on the documents of the other folds. ``mined``: (fold, label, highest windows, their scores, other windows) of each document.
+
+    Most unmarked documents are rightly so: a marked one stands out where it exceeds nearly all of their highest windows; unmarked ones that do are left out
+    unless ``lenient`` and close to the bar.
+    """
+    bar = float(np.quantile([scores[0] for _, label, _, scores, _ in mined if label == 0], STANDS_OUT))
+    seen: Counter = Counter()
+    for fold, label, highest, scores, others in mined:
+        if label == 1:
+            seen.update((fold, 1, w) for w, s in zip(highest[:2], scores) if s > bar)
+        elif scores[0] <= bar + lenient:
+            seen.update((fold, 0, w) for w in (*highest, *others))
+    # windows that many documents share are fitted once, with their number as weight
+    vocabulary, found = Vocabulary(), sorted(seen)
+    matrix = vocabulary.matrix([w.split(" ") for _, _, w in found])
+    folds, labels, times = (np.array(x) for x in ([f for f, _, _ in found], [v for _, v, _ in found], [seen[x] for x in found]))
+    out = []
+    for fold in range(models):
+        own = folds != fold if models > 1 else np.ones(len(found), bool)
+        if not labels[own].any() or labels[own].all():
+            return []
+        out.append(Model(seed + fold).fit(vocabulary, matrix[own], labels[own], _balanced(labels[own], times[own]), epochs=4, rate=0.1).scorer())
+    return out * (FOLDS // models)
 
 
-def train(marked: Iterable[str], unmarked: Iterable[str], seed: int = 7) -> Scorer:
-    """A scorer from whole texts of marked and unmarked documents, see the module."""
-    random = np.random.default_rng(seed)
-    yes, no = [w for t in marked if (w := windows(t))], [w for t in unmarked if (w := windows(t))]
+def averaged(judges: list[Scorer], bars: list[float]) -> Scorer:
+    """The mean of the judges' log-odds, each above its own bar."""
+    return Scorer(np.mean([j.buckets for j in judges], axis=0).astype(np.float32), float(np.mean([j.bias - b for j, b in zip(judges, bars)])))
+
+
+def _silent() -> Scorer:
+    """The scorer of tables without labels of both kinds: nothing stands out."""
+    return Scorer(np.zeros(BUCKETS, np.float32), -20.0)
+
+
+def train(mine, first: Iterable[tuple[int, list[list[str]]]], share: float, seed: int = 7) -> Scorer:
+    """A scorer from labelled documents, see the module.
+
+    ``first``: (label, windows) of the documents of round one. ``mine(judges)`` gives for every labelled document (fold, label, highest windows, their
+    scores, other windows), scored by its fold's judge. ``share``: see _best_bar.
+    """
+    first = [(label, found) for label, found in first if found]
+    yes, no = [w for label, w in first if label == 1], [w for label, w in first if label == 0]
     if not yes or not no:
-        return Scorer(np.zeros(BUCKETS, np.float32), -20.0)
-
-    def some(found: list, n: int) -> list:
-        return [found[i] for i in random.permutation(len(found))[:n]]
-
-    first = Model(seed)
-    found, labels, share = first_round(yes, no)
-    first.fit(found, labels, share, epochs=2, rate=0.1)
-    judge = first.scorer()
-    for turn in range(2):
-        ranked_yes = [sorted(((judge.window(w), w) for w in d), key=lambda x: -x[0]) for d in yes]
-        ranked_no = [sorted(((judge.window(w), w) for w in d), key=lambda x: -x[0]) for d in no]
-        tops = np.array([d[0][0] for d in ranked_no])
-        # most unmarked documents are rightly so: a marked one stands out where it exceeds nearly all of their highest windows
-        bar = float(np.quantile(tops, 0.97))
-        pos = [w for d in ranked_yes if d[0][0] > bar for s, w in d[:2] if s > bar]
-        clean = [d for d in ranked_no if d[0][0] <= bar or turn == 0 and d[0][0] <= bar + 1]
-        neg = [w for d in clean for _, w in d[:3]] + [w for d in clean for _, w in some(d[3:], 3)]
-        if not pos or not neg:
-            break
-        labels = np.r_[np.ones(len(pos), int), np.zeros(len(neg), int)]
-        share = np.where(labels == 1, 0.5 / len(pos), 0.5 / len(neg)) * len(labels)
-        model = Model(seed + 1 + turn)
-        model.fit(pos + neg, labels, share.astype(np.float32), epochs=4, rate=0.1)
-        judge = model.scorer()
-    tops = [np.array([max(map(judge.window, d)) for d in docs]) for docs in (yes, no)]
-    judge.bias -= _best_bar(*tops)
-    return Scorer(judge.buckets, judge.bias)
+        return _silent()
+    judges = [first_judge(yes, no, seed)] * FOLDS
+    for turn in range(ROUNDS):
+        judges = later_judges(mine(judges), FOLDS if turn == ROUNDS - 1 else 1, turn == 0, seed + FOLDS * (turn + 1)) or judges
+    # each document's score is that of a model that didn't see it
+    last = mine(judges)
+    bars = []
+    for fold in range(FOLDS):
+        of = lambda label: np.array([scores[0] for f, v, _, scores, _ in last if v == label and f == fold])  # noqa: B023,E731
+        bars.append(_best_bar(of(1), of(0), share) if len(of(1)) and len(of(0)) else 0.0)
+    return averaged(judges, bars)
 
 
 def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
-    """A scorer fitted on at most MARKED + UNMARKED labelled documents."""
+    """A scorer fitted on at most MARKED + UNMARKED labelled documents, of which at most FIRST of either label are in round one.
+
+    Their texts are cut into windows once, on the executors; there each judge also picks the windows that stand out, so that the driver holds the
+    documents of round one and at most HIGHEST + OTHERS windows of every other.
+    """
     require(documents, key, text)
     require(labels, key, label)
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).alias("label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("label"))
     ordered = lambda v, n: known.where(F.col("label") == v).orderBy(F.xxhash64("k"), "k").limit(n)
     chosen = ordered(1, MARKED).unionByName(ordered(0, UNMARKED))
-    rows = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t <> ''").join(small_or_plain(chosen, LABELS_BROADCAST), "k").select("k", "label", "t").collect()
-    rows.sort(key=lambda r: r.k)
-    return train((r.t for r in rows if r.label == 1), (r.t for r in rows if r.label == 0))
+    texts = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t <> ''").join(small_or_plain(chosen, MARKED + UNMARKED), "k")
+    turn = F.xxhash64(F.col("k").cast("string"))
+
+    def cut(it):
+        for b in it:
+            made = [[" ".join(w) for w in windows(t)] for t in b["t"]]
+            yield pd.DataFrame({"turn": b["turn"], "label": b["label"], "found": made})[[bool(m) for m in made]]
+
+    parsed = written(texts.select(turn.alias("turn"), "label", "t").repartition(documents.sparkSession.sparkContext.defaultParallelism).mapInPandas(cut, "turn long, label int, found array<string>"))
+    numbers = {r.label: r.n for r in parsed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = (totals.get(0, 0) / max(1, numbers.get(0, 0))) / max(1e-9, totals.get(1, 0) / max(1, numbers.get(1, 0)))
+    sample = parsed.where("label = 1").orderBy("turn").limit(FIRST).unionByName(parsed.where("label = 0").orderBy("turn").limit(FIRST))
+    first = [(r.label, [w.split(" ") for w in r.found]) for r in sorted(sample.collect(), key=lambda r: (r.label, r.turn))]
+
+    def mine(judges: list[Scorer]) -> list[tuple]:
+        shared = documents.sparkSession.sparkContext.broadcast([(j.buckets, j.bias) for j in judges])
+
+        def pick(it):
+            own = [Scorer(*x) for x in shared.value]
+            for b in it:
+                out = [(t, t % FOLDS, label, *standing_out(own[t % FOLDS], found, t)) for t, label, found in zip(b["turn"], b["label"], b["found"])]
+                yield pd.DataFrame(out, columns=["turn", "fold", "label", "highest", "scores", "others"])
+
+        rows = parsed.mapInPandas(pick, "turn long, fold int, label int, highest array<string>, scores array<double>, others array<string>").collect()
+        return [(r.fold, r.label, r.highest, r.scores, r.others) for r in sorted(rows)]
+
+    return train(mine, first, share)
 
 
-def scored(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", to: str = "score") -> DataFrame:
-    """``documents`` with column ``to``: the log-odds of the highest window of each whole text. Null, empty and wordless texts get null; an existing column is replaced; without labels of both kinds no text stands out (all scores are low)."""
-    shared = documents.sparkSession.sparkContext.broadcast(fitted(documents, labels, key, text, label))
+def scored(documents: DataFrame, labels: DataFrame | Scorer, key: str = "doc_id", text: str = "text", label: str = "toxic", to: str = "score") -> DataFrame:
+    """``labels``: labelled documents to fit on, or a scorer fitted before. ``documents`` with column ``to``: the log-odds of the highest window of each whole text. Null, empty and wordless texts get null; an existing column is replaced; without labels of both kinds no text stands out (all scores are low)."""
+    require(documents, text)
+    shared = documents.sparkSession.sparkContext.broadcast(labels if isinstance(labels, Scorer) else fitted(documents, labels, key, text, label))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -256,12 +371,12 @@ def scored(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     return documents.withColumn(to, score(F.col(text).cast("string")))
 
 
-def flagged(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", above: float = 0.0) -> DataFrame:
+def flagged(documents: DataFrame, labels: DataFrame | Scorer, key: str = "doc_id", text: str = "text", label: str = "toxic", above: float = 0.0) -> DataFrame:
     """(doc_id): documents whose score exceeds ``above`` (log-odds)."""
     return scored(documents, labels, key, text, label).where(F.col("score") > above).select(F.col(key).alias("doc_id"))
 
 
-def source_rates(documents: DataFrame, labels: DataFrame, source: str = "source", above: float = 0.0) -> DataFrame:
+def source_rates(documents: DataFrame, labels: DataFrame | Scorer, source: str = "source", above: float = 0.0) -> DataFrame:
     """(source, documents, flagged, rate) over all documents; a null source is a group of its own, texts without a score count as not flagged."""
     hit = F.coalesce((F.col("score") > above).cast("long"), F.lit(0))
     return scored(documents, labels).groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("documents"), F.sum(hit).alias("flagged"), F.avg(hit.cast("double")).alias("rate"))
