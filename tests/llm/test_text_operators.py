@@ -233,9 +233,10 @@ def test_first_round_sees_every_window(monkeypatch):
     long, short = ". ".join(f"word{i} of the page" for i in range(50)), "a short page"
     seen, fit = [], X.Model.fit
     monkeypatch.setattr(X.Model, "fit", lambda self, vocabulary, found, labels, importance, **k: (seen.append((vocabulary, found, labels, importance)), fit(self, vocabulary, found, labels, importance, **k))[1])
-    X.first_judge([X.windows(long), X.windows(short)], [X.windows(t) for t in (long, short, short)])
+    cut = lambda t: X.windows(X.passages(t))
+    X.first_judge([cut(long), cut(short)], [cut(t) for t in (long, short, short)])
     vocabulary, found, labels, importance = seen[0]
-    every = [w for t in (long, short, long, short, short) for w in X.windows(t)]
+    every = [w for t in (long, short, long, short, short) for w in cut(t)]
     word = {n: w for w, n in vocabulary.number.items()}
     assert [[word[n] for n in row if n] for row in found] == every and len(every) == 103 and list(labels) == [1] * 51 + [0] * 52
     assert importance[:50].sum() == pytest.approx(importance[50]) and importance[51:101].sum() == pytest.approx(importance[102])
@@ -262,3 +263,5 @@ def test_scorer_saved_and_loaded(spark, tmp_path):
 def test_disguises_and_quotations():
     assert X.passages('He wrote "you fool" there') == [["he", "wrote", "there"]]
     assert ["naked"] == X.passages("n-a-k-e-d")[0][:1] and X.passages("TEEEETAS")[0] == ["tetas"] and X.passages("PL4G4")[0] == ["plaga"]
+    assert X.passages("so n a k e d here! And {{x||n-a-k-e-d}} we") == [["so", "naked", "here"], ["and"], ["x"], ["naked"], ["we"]]
+    assert X.passages("a b c") == [["a", "b", "c"]] and X.passages("he «said " + "so " * 500 + "» there") == [["he", "there"]]

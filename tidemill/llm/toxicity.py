@@ -41,12 +41,16 @@ STEPS = 400
 _LEET = str.maketrans("4301$@57", "aeoisast")
 # Laughter, which says nothing about a passage.
 LAUGHTER = {"lol", "mdr", "ptdr", "haha", "jaja", "xd"}
-_QUOTED = re.compile(r"«[^«»\n]*»|“[^“”\n]*”|„[^„“”\n]*[“”]|(?<!\w)\"[^\"\n]*\"|\{\{quote\|[^{}]*\}\}|<blockquote>.*?</blockquote>", re.IGNORECASE | re.DOTALL)
-_SPACED = re.compile(r"(?<!\w)(?:[^\W_][.\-_* ]){3,}[^\W_](?!\w)")
+# every alternative starts with its own mark, so that the search skips to the next one
+_QUOTED = re.compile(r"«[^«»\n]*»|“[^“”\n]*”|„[^„“”\n]*[“”]|\"(?<!\w\")[^\"\n]*\"|\{\{(?i:quote)\|[^{}]*\}\}|<(?i:blockquote)>(?is:.*?</blockquote>)")
+_SPACED = re.compile(r"(?<!\w)(?:[^\W_][.\-_*]){3,}[^\W_](?!\w)")
+_PARTING = re.compile(r"[.\-_*]")
 _WORD = re.compile(r"[^\W_]+(?:[#*$@'’][^\W_]+)*")
 _MIXED = re.compile(r"[^\W\d_]")
-_STOP = re.compile(r"[.!?]+(?:\s|$)|\n+|;\s|\{\||\|\}|\|\||!!|\{\{|\}\}|\[\[Category:|\]\]\s*(?=\[\[)")
+_STOP = re.compile(r"[.!?]+$|;$|!!|[{|]\||[{|]\{|[|}]\}")
 _REPEATED = re.compile(r"(.)\1+")
+#: Single letters parted by blanks that make a word, at least.
+_LETTERS = 4
 
 
 def _word(w: str) -> str:
@@ -58,29 +62,73 @@ def _word(w: str) -> str:
     return _REPEATED.sub(r"\1", w)
 
 
-def passages(text: str, word=_word) -> list[list]:
-    """Words of each passage of a text, in lower case, without markup, quotations and disguises; ``word`` is applied to each."""
-    text = shape(plain(_QUOTED.sub(" ", text))).lower()
+def token_words(token: str) -> list[list[str]]:
+    """The words of what stands between blanks, without disguises; a list for each passage of which it holds a part."""
     out = []
-    for part in _STOP.split(text):
-        if part and not part.isspace():
-            part = _SPACED.sub(lambda m: re.sub(r"[.\-_* ]", "", m.group()), part)
-            found = [word(w) for w in _WORD.findall(part) if w not in LAUGHTER]
-            if found:
-                out.append(found)
+    for part in _STOP.split(token):
+        part = _SPACED.sub(lambda m: _PARTING.sub("", m.group()), part)
+        out.append([_word(w) for w in _WORD.findall(part) if w not in LAUGHTER])
     return out
 
 
-def windows(text: str) -> list[list[str]]:
-    """Overlapping stretches of at most WINDOW words of each passage."""
+def _closed_up(tokens: list[str]) -> list[str]:
+    """``tokens`` with each run of _LETTERS or more single letters made one."""
+    out, run = [], []
+    for t in [*tokens, ""]:
+        if len(t) == 1 and t.isalnum():
+            run.append(t)
+            continue
+        out += ["".join(run)] if len(run) >= _LETTERS else run
+        run = []
+        out.append(t)
+    return out[:-1]
+
+
+class Tokens(dict):
+    """What ``of`` gives for the words of each token, by passage; kept for a while, as texts share tokens."""
+
+    def __init__(self, of=lambda w: w):
+        self.of = of
+
+    def __missing__(self, token: str) -> list[list]:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[token] = [[self.of(w) for w in part] for part in token_words(token)]
+        return found
+
+
+def passages(text: str, tokens: Tokens | None = None) -> list[list]:
+    """Words of each passage of a text, in lower case, without markup, quotations and disguises, as ``tokens`` gives them."""
+    tokens = Tokens() if tokens is None else tokens
+    text = shape(plain(_QUOTED.sub(" ", text))).lower()
     out = []
-    for p in passages(text):
-        out.append(p[:WINDOW])
-        for at in range(STEP, len(p) - STEP, STEP):
-            out.append(p[at : at + WINDOW])
+    for line in text.split("\n"):
+        found = line.split()
+        if len([t for t in found if len(t) == 1]) >= _LETTERS:
+            found = _closed_up(found)
+        now: list = []
+        for parts in [tokens[t] for t in found]:
+            now += parts[0]
+            if len(parts) > 1:
+                for part in parts[1:]:
+                    if now:
+                        out.append(now)
+                    now = list(part)
+        if now:
+            out.append(now)
     return out
 
 
+def starts(size: int) -> list[int]:
+    """Where the windows of a passage of ``size`` words begin."""
+    return [0, *range(STEP, size - STEP, STEP)]
+
+
+def windows(found: list[list]) -> list[list]:
+    """Overlapping stretches of at most WINDOW words of each passage."""
+    return [p[at : at + WINDOW] for p in found for at in starts(len(p))]
+
+
 def grams(word: str) -> np.ndarray:
     """Buckets of a word's character n-grams and of the word itself."""
     framed = f"<{word}>"
@@ -170,8 +218,7 @@ class Scorer:
     def __init__(self, buckets: np.ndarray, bias: float):
         self.buckets, self.bias = buckets, bias
         self.known: dict[str, float] = {}
-        self.raw: dict[str, float] = {}
-        self.windows: dict[str, float] = {}
+        self.tokens = Tokens(self.word)
 
     def word(self, w: str) -> float:
         found = self.known.get(w)
@@ -181,24 +228,20 @@ class Scorer:
             found = self.known[w] = float(self.buckets[grams(w)].mean())
         return found
 
-    def raw_word(self, w: str) -> float:
-        """The score of a word as it stands in the text."""
-        found = self.raw.get(w)
-        if found is None:
-            if len(self.raw) > 200_000:
-                self.raw.clear()
-            found = self.raw[w] = self.word(_word(w))
-        return found
+    def windows(self, scores: list[float]) -> list[float]:
+        """The log-odds of each window of a passage whose words have ``scores``."""
+        size, bias = len(scores), self.bias
+        return [sum(part) / max(len(part), LEAST) + bias for at in starts(size) if (part := scores[at : at + WINDOW])]
 
-    def joined(self, window: str) -> float:
-        """The score of a window given as words with blanks between; documents share many."""
-        found = self.windows.get(window)
-        if found is None:
-            if len(self.windows) > 200_000:
-                self.windows.clear()
-            words = window.split(" ")
-            found = self.windows[window] = sum(map(self.word, words)) / max(len(words), LEAST) + self.bias
-        return found
+    def text(self, text: str | None) -> float:
+        """Log-odds of the highest window; minus infinity for a text without words."""
+        best = float("-inf")
+        for scores in passages(text, self.tokens) if text else ():
+            if (size := len(scores)) <= WINDOW:
+                best = max(best, sum(scores) / max(size, LEAST))
+            else:
+                best = max(best, *(sum(part) / max(len(part), LEAST) for at in starts(size) if (part := scores[at : at + WINDOW])))
+        return best + self.bias
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes the scorer as a Parquet table of one row, replacing what is there."""
@@ -211,17 +254,6 @@ class Scorer:
         row = spark.read.parquet(path).first()
         return Scorer(np.frombuffer(bytes(row.buckets), "<f4").astype(np.float32), row.bias)
 
-    def text(self, text: str | None) -> float:
-        """Log-odds of the highest window; minus infinity for a text without words."""
-        best, bias = float("-inf"), self.bias
-        for scores in passages(text, self.raw_word) if text else ():
-            size = len(scores)
-            best = max(best, sum(scores[:WINDOW]) / min(max(size, LEAST), WINDOW) + bias)
-            for at in range(STEP, size - STEP, STEP):
-                part = scores[at : at + WINDOW]
-                best = max(best, sum(part) / max(len(part), LEAST) + bias)
-        return best
-
 
 def _best_bar(yes: np.ndarray, no: np.ndarray, share: float) -> float:
     """The bar of highest F1 between the documents' scores, in the middle of its gap; an unmarked document counts ``share`` times, as it stands for that many among the labels for each that a marked one stands for."""
@@ -252,10 +284,15 @@ def first_judge(yes: list[list], no: list[list], seed: int = 7) -> Scorer:
 
 
 def standing_out(judge: Scorer, found: list[str], key: int) -> tuple[list[str], list[float], list[str]]:
-    """A document's highest windows with their scores, highest first, and some of the others, drawn by ``key``."""
-    ranked = sorted(((judge.joined(w), w) for w in found), key=lambda x: (-x[0], x[1]))
-    rest = [w for _, w in ranked[HIGHEST:]]
-    return [w for _, w in ranked[:HIGHEST]], [s for s, _ in ranked[:HIGHEST]], random.Random(key).sample(rest, min(OTHERS, len(rest)))
+    """The highest windows of a document of passages ``found`` with their scores, highest first, and some of the others, drawn by ``key``."""
+    ranked = []
+    for p in found:
+        words = p.split(" ")
+        scores = judge.windows([judge.word(w) for w in words])
+        ranked += [(-x, words[at : at + WINDOW]) for x, at in zip(scores, starts(len(words)))]
+    ranked.sort()
+    rest = ranked[HIGHEST:]
+    return [" ".join(w) for _, w in ranked[:HIGHEST]], [-x for x, _ in ranked[:HIGHEST]], [" ".join(w) for _, w in random.Random(key).sample(rest, min(OTHERS, len(rest)))]
 
 
 def later_judges(mined: list[tuple], models: int, lenient: bool, seed: int) -> list[Scorer]:
@@ -331,8 +368,9 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     turn = F.xxhash64(F.col("k").cast("string"))
 
     def cut(it):
+        tokens = Tokens()
         for b in it:
-            made = [[" ".join(w) for w in windows(t)] for t in b["t"]]
+            made = [[" ".join(p) for p in passages(t, tokens)] for t in b["t"]]
             yield pd.DataFrame({"turn": b["turn"], "label": b["label"], "found": made})[[bool(m) for m in made]]
 
     parsed = written(texts.select(turn.alias("turn"), "label", "t").repartition(documents.sparkSession.sparkContext.defaultParallelism).mapInPandas(cut, "turn long, label int, found array<string>"))
@@ -340,7 +378,7 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (totals.get(0, 0) / max(1, numbers.get(0, 0))) / max(1e-9, totals.get(1, 0) / max(1, numbers.get(1, 0)))
     sample = parsed.where("label = 1").orderBy("turn").limit(FIRST).unionByName(parsed.where("label = 0").orderBy("turn").limit(FIRST))
-    first = [(r.label, [w.split(" ") for w in r.found]) for r in sorted(sample.collect(), key=lambda r: (r.label, r.turn))]
+    first = [(r.label, windows([p.split(" ") for p in r.found])) for r in sorted(sample.collect(), key=lambda r: (r.label, r.turn))]
 
     def mine(judges: list[Scorer]) -> list[tuple]:
         shared = documents.sparkSession.sparkContext.broadcast([(j.buckets, j.bias) for j in judges])
