@@ -150,7 +150,7 @@ def test_encoding_matches_the_library(spark):
     tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     path = tokenizer_path()
     library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=T.load_ranks(path), special_tokens={})
-    texts = ["Hello  world", "it's the   end\n\n of\ta line  ", "éàü ßœ 日本語 👩‍💻", "<|endoftext|>", "a b   c\x1c d\x85e", " ", "   ", "\n \n x", "don'ts we'll 12345 ½ x²", "z" * 3000, "ab " * 500, "Ẁ̀ ́x", "\r\n\r\n  if", None, "", "Hello  world"]
+    texts = ["Hello  world", "it's the   end\n\n of\ta line  ", "éàü ßœ 日本語 👩‍💻", "<|endoftext|>", "a b   c\x1c d\x85e", " ", "   ", "\n \n x", "don'ts we'll 12345 ½ x²", "z" * 3000, "ab " * 500, "Ẁ̀ ́x", "\r\n\r\n  if", "end  ", "end\n ", "end \n", "  ", None, "", "Hello  world"]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
     for size in (4, 1 << 10):  # the lexicon's bound doesn't matter
         got = {r.doc_id: r.ids for r in T.encode(df, path, size=size).collect()}
