@@ -46,7 +46,7 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenize.encode(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "ids")
+    return tokenize.encode(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path(), keep=["doc_id"])
 
 
 def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:

@@ -246,12 +246,14 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text", to: str = "ids", size: int = LEXICON) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, text: str = "text", to: str = "ids", size: int = LEXICON, keep: list[str] | None = None) -> DataFrame:
     """``df`` with column ``to``: the ids of each whole text, without special tokens (their strings are ordinary text).
 
-    A null or empty text gives an empty list; all rows are kept, repeated ones too; an existing column ``to`` is replaced.
+    A null or empty text gives an empty list; all rows are kept, repeated ones too; an existing column ``to`` is replaced. ``keep``: the columns of
+    ``df`` that are wanted besides (all, unless given).
     """
-    require(df, text)
+    require(df, text, *(keep or []))
+    columns = df.columns if keep is None else keep
     t = F.col(text).cast("string")
     coded = encoded_words(df.select(t.alias("t")).where("t <> ''"), "t", ranks_path)
     known, others = lexicon(coded, size)
@@ -263,7 +265,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", to: str = "ids",
         return _lists([assembler.whole(x) if x else b"" for x in texts.to_pylist()])
 
     if others is None:
-        return df.withColumn(to, whole(t))
+        return df.withColumn(to, whole(t)).select(*dict.fromkeys([*columns, to]))
 
     @F.arrow_udf("struct<runs: array<array<int>>, late: array<string>>")
     def pieces(texts: pa.Array) -> pa.Array:
@@ -276,12 +278,14 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", to: str = "ids",
 
     row, packed = (f"{c}_{uuid.uuid4().hex[:8]}" for c in ("row", "packed"))
     # written once: the row numbers must not change between the two sides of the join
-    base = written(df.withColumn(row, F.monotonically_increasing_id()).withColumn(packed, pieces(t)))
-    words = base.select(row, F.posexplode(F.col(packed)["late"]).alias("k", "w")).join(others, "w")
-    found = words.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("late_ids")).select(row, F.transform("late_ids", lambda x: x["ids"]).alias("late_ids"))
-    none = F.array().cast("array<array<int>>")
-    ids = F.flatten(F.zip_with(F.col(packed)["runs"], F.concat(F.coalesce("late_ids", none), F.array(F.array().cast("array<int>"))), lambda a, b: F.concat(a, b)))
-    return base.join(found, row, "left").withColumn(to, ids).select(*dict.fromkeys([*df.columns, to]))
+    base = written(df.withColumn(row, F.monotonically_increasing_id()).withColumn(packed, pieces(t)).select(*dict.fromkeys([*columns, row, packed])))
+    runs, late = F.col(packed)["runs"], F.col(packed)["late"]
+    done = base.where(F.size(late) == 0).withColumn(to, F.flatten(runs))
+    waiting = base.where(F.size(late) > 0)  # only rows with a word that the lexicon lacks are joined
+    found = waiting.select(row, F.posexplode(late).alias("k", "w")).join(others, "w").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("late_ids"))
+    ids = F.flatten(F.zip_with(runs, F.concat(F.transform(found["late_ids"], lambda x: x["ids"]), F.array(F.array().cast("array<int>"))), lambda a, b: F.concat(a, b)))
+    joined = waiting.join(found, row).withColumn(to, ids)
+    return done.select(*dict.fromkeys([*columns, to])).unionByName(joined.select(*dict.fromkeys([*columns, to])))
 
 
 _ASSEMBLERS: dict[int, _Assembler] = {}
