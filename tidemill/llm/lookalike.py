@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.common import bounded_rows, require
+from tidemill.common import bounded_rows, require, written
 
 # Letters drawn alike in common fonts, by the letter that stands for the class.
 LOOKALIKES = {
@@ -76,7 +76,7 @@ class _Plain(dict):
         return to
 
 
-_PLAIN = _Plain()
+PLAIN = _Plain()
 _SHAPES = {ord(x): rep for x, rep in _REP.items()}
 _WESTERN = re.compile("[\t-\r -~\xa1-\xac\xae-ɏ–—‘-„…]*")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
@@ -90,7 +90,7 @@ def shape(text: str | None) -> str | None:
         return _CONTROL.sub("", text) if _CONTROL.search(text) else text
     if _WESTERN.fullmatch(text):  # nothing here is special, blank or stands for another letter
         return unicodedata.normalize("NFC", text)
-    text = text.translate(_PLAIN)
+    text = text.translate(PLAIN)
     if "‍" in text:  # a joiner is seen only where it fuses two pictures
         text = _LOOSE_JOINER.sub("", text)
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_SHAPES))
@@ -258,7 +258,8 @@ def same_look_pairs(df: DataFrame, key: str = "id", text: str = "text", counts:
     """
     require(df, key, text)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("t <> ''")
-    rows = canonical(rows, "t", "form", counts).select("id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("t")).alias("raw")).where("form is not null")
+    # digests are written once, so that the search runs once however often they are joined
+    rows = written(canonical(rows, "t", "form", counts).select("id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("t")).alias("raw")).where("form is not null"))
     # min <> max tells several variants with partial aggregation and constant state
     several = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     kept = rows.join(several, "form", "left_semi")
