@@ -1,22 +1,24 @@
 """Records that differ only in formatting (problem 4): progressive partition refinement.
 
-Rows are first parted by invariants that cost nothing to compare (length and letter histogram of their letters and
-digits); the costlier key, the letters and digits in order, is only grouped inside parts that have several members.
+Rows are first parted by invariants that cost little: how many letters and digits they have and a histogram of these, both
+blind to case and look-alikes, so that copies always agree in them. Only rows that share a part with another go on to the
+costlier key, the letters and digits in order in the form of problem 1, of which a digest is grouped.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.common import require, written
-from tidemill.llm.lookalike import Speller, bigram_counts
+from tidemill.llm.lookalike import LOOKALIKES, PLAIN, Speller, bigram_counts
 
 #: The fields of a raw line, in the order of its key.
 FIELDS = ("text", "class", "author", "likes", "shares", "lang")
@@ -55,87 +57,116 @@ def fields(line: str | None) -> tuple[str, ...] | None:
     return tuple(found[f] for f in FIELDS) if all(f in found for f in FIELDS) else None
 
 
-def _histogram(key: str) -> int:
-    """A 64-bit hash of the letters of ``key`` with their counts, whatever their order."""
-    return xxhash.xxh64_intdigest("".join(sorted(key))) - (1 << 63)
+def _closure() -> dict[str, str]:
+    """One letter for all that case and look-alikes tie together, from letter to letter."""
+    head: dict[str, str] = {}
 
+    def find(x: str) -> str:
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
 
-def _rows(made: list[tuple], bare: bool) -> Iterator[pd.DataFrame]:
-    """A frame of the (id, form) that have a form; if ``bare``, another of those that have none, with nulls."""
-    kept = [(i, k) for i, k in made if k]
-    if kept:
-        yield pd.DataFrame({"id": [i for i, _ in kept], "size": [len(k) for _, k in kept], "histogram": [_histogram(k) for _, k in kept], "form": [k for _, k in kept]})
-    if bare and (rest := [i for i, k in made if not k]):
-        yield pd.DataFrame({"id": rest, "size": None, "histogram": None, "form": None})
+    for letter, others in LOOKALIKES.items():
+        for x in others:
+            a, b = find(letter.casefold()), find(x.casefold())
+            head[max(a, b)] = min(a, b)
+    return {x: find(x) for x in head}
 
 
-def text_keys(df: DataFrame, speller: Speller, key: str, text: str, bare: bool = False) -> DataFrame:
-    """(id, size, histogram, form) of each text with a letter or digit; if ``bare``, of the others with nulls."""
+_CLOSURE = _closure()
 
-    def batches(it):
-        for b in it:
-            yield from _rows([(i, None if t is None else core(speller.form(t))) for i, t in zip(b["id"], b["t"])], bare)
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInPandas(batches, "id long, size int, histogram long, form string")
+class _Blind(dict):
+    """Translation that keeps letters and digits only, without case, accents and what look-alikes differ in; filled as characters occur."""
+
+    def __missing__(self, o: int) -> str:
+        plain = PLAIN[o]
+        folded = unicodedata.normalize("NFD", "" if plain is None else (chr(plain) if isinstance(plain, int) else plain).casefold())
+        found = self[o] = "".join(_CLOSURE.get(x, x) for x in folded if x.isalnum())
+        return found
+
+
+_BLIND = _Blind()
+
 
+def invariants(parts: list[str]) -> tuple[int, int]:
+    """How many letters and digits ``parts`` have, and a 64-bit hash of how many of each, whatever their order: equal for copies, cheaper than their form."""
+    blind = [x.translate(_BLIND) for x in parts]
+    return sum(map(len, blind)), xxhash.xxh64_intdigest("\x1f".join("".join(sorted(x)) for x in blind)) - (1 << 63)
 
-def line_keys(df: DataFrame, speller: Speller, key: str, line: str, bare: bool = False) -> DataFrame:
-    """(id, size, histogram, form) of each raw line with all six fields, the form holding them in fixed order; if ``bare``, of the others with nulls."""
+
+def _keys_of(df: DataFrame, key: str, column: str, parts) -> DataFrame:
+    """(id, size, histogram, parts) of each row; ``parts`` gives what of its string is compared, or None. Rows with nothing to compare have nulls."""
 
     def batches(it):
         for b in it:
-            yield from _rows([(i, "\x1f".join(core(speller.form(x)) for x in f) if (f := fields(t)) else None) for i, t in zip(b["id"], b["t"])], bare)
+            rows = []
+            for i, t in zip(b["id"], b["t"]):
+                p = parts(t)
+                size, histogram = invariants(p) if p is not None else (0, 0)
+                rows.append((i, size, histogram, p) if size else (i, None, None, None))
+            yield pd.DataFrame({"id": [r[0] for r in rows], "size": pd.array([r[1] for r in rows], "Int32"), "histogram": pd.array([r[2] for r in rows], "Int64"), "parts": [r[3] for r in rows]})
+
+    return df.select(F.col(key).cast("long").alias("id"), F.col(column).cast("string").alias("t")).mapInPandas(batches, "id long, size int, histogram long, parts array<string>")
+
+
+def text_keys(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Invariants of each text, see _keys_of; texts without a letter or digit have nulls."""
+    return _keys_of(df, key, text, lambda t: None if not t else [t])
+
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(line).cast("string").alias("t")).mapInPandas(batches, "id long, size int, histogram long, form string")
+def line_keys(df: DataFrame, key: str, line: str) -> DataFrame:
+    """Invariants of each raw line by its six fields in fixed order, see _keys_of; lines that lack one have nulls."""
+    return _keys_of(df, key, line, lambda t: list(f) if (f := fields(t)) else None)
 
 
 #: What rows of one set of copies share: the table and the invariants of the first stage.
 PARTS = ["tbl", "size", "histogram"]
 
 
-def shared_parts(keys: DataFrame, parts: list[str]) -> DataFrame:
-    """The parts of several rows. Counting is pre-aggregated, so a class with a third of all rows costs one counter a task."""
-    return keys.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+def shared_parts(keys: DataFrame) -> DataFrame:
+    """The parts of several rows. Counting is pre-aggregated, so a part with a third of all rows costs one counter a task."""
+    return keys.where("size is not null").groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
 
 
-def refined(keys: DataFrame, parts: list[str]) -> DataFrame:
-    """Rows of ``keys`` (tbl, id, size, histogram, form) that share size and histogram with another row of their table: the one stage of refinement before the exact key."""
-    return keys.join(shared_parts(keys, parts), parts, "left_semi")
+def refined(keys: DataFrame, speller: Speller) -> DataFrame:
+    """(tbl, id, form): rows of ``keys`` that share their part with another row, with a digest of the costlier key, which is made for these rows only."""
 
+    @F.arrow_udf("binary")
+    def digest(parts: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh128_digest("\x1f".join(core(speller.form(x)) for x in p)) for p in parts.to_pylist()], pa.binary())
 
-def classes(keys: DataFrame, least: int = 2) -> DataFrame:
-    """(tbl, form, first_id, copies) of the sets of at least ``least`` copies among the rows of ``keys`` that share their part with another."""
-    kept = refined(keys, PARTS)
-    return kept.groupBy("tbl", "form").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= least)
+    return keys.join(shared_parts(keys), PARTS, "left_semi").select("tbl", "id", digest("parts").alias("form"))
 
 
-def copies(keys: DataFrame) -> DataFrame:
-    """(tbl, first_id, copy_id): each member of a set of copies but the smallest id."""
-    keys = written(keys)
-    found = classes(keys).select("tbl", "form", "first_id")
-    return keys.select("tbl", "id", "form").join(found, ["tbl", "form"]).where("id <> first_id").select("tbl", "first_id", F.col("id").alias("copy_id"))
+def classes(rows: DataFrame, least: int = 2) -> DataFrame:
+    """(tbl, form, first_id, copies) of the sets of at least ``least`` copies among refined rows."""
+    return rows.groupBy("tbl", "form").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= least)
 
 
-def _keys(texts: DataFrame | None, lines: DataFrame | None, key: str, text: str, line_key: str, line: str, names: tuple[str, str], bare: bool) -> DataFrame:
-    """(tbl, id, size, histogram, form) of the texts and of the lines."""
+def _keys(texts: DataFrame | None, lines: DataFrame | None, key: str, text: str, line_key: str, line: str, names: tuple[str, str]) -> tuple[DataFrame, Speller]:
+    """Invariants of the texts and of the lines with their table's name, written once, and the search for their forms."""
     parts, counts = [], {}
     if texts is not None:
         require(texts, key, text)
         counts = bigram_counts(texts, text)
-        parts.append(text_keys(texts, Speller(counts), key, text, bare).select(F.lit(names[0]).alias("tbl"), "*"))
+        parts.append(text_keys(texts, key, text).select(F.lit(names[0]).alias("tbl"), "*"))
     if lines is not None:
         require(lines, line_key, line)
-        parts.append(line_keys(lines, Speller(counts or bigram_counts(lines, line)), line_key, line, bare).select(F.lit(names[1]).alias("tbl"), "*"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        counts = counts or bigram_counts(lines, line)
+        parts.append(line_keys(lines, line_key, line).select(F.lit(names[1]).alias("tbl"), "*"))
+    return written(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])), Speller(counts)
 
 
 def formatted_copies(texts: DataFrame | None, lines: DataFrame | None, key: str = "id", text: str = "text", line_key: str = "record_id", line: str = "record", names: tuple[str, str] = ("task2_train", "task2_raw")) -> DataFrame:
-    """Sets of copies within a table of texts and within a table of raw lines, see ``copies``.
+    """(tbl, first_id, copy_id): each member of a set of copies but the smallest id, within a table of texts and within a table of raw lines.
 
     Nulls, blanks, texts without a letter or digit and lines without all six fields are in no set; exact copies count;
     other columns don't matter; an empty table gives no rows. Sets don't cross tables.
     """
-    return copies(_keys(texts, lines, key, text, line_key, line, names, False))
+    rows = written(refined(*_keys(texts, lines, key, text, line_key, line, names)))
+    found = classes(rows).select("tbl", "form", "first_id")
+    return rows.join(found, ["tbl", "form"]).where("id <> first_id").select("tbl", "first_id", F.col("id").alias("copy_id"))
 
 
 def copy_counts(texts: DataFrame | None, lines: DataFrame | None = None, key: str = "id", text: str = "text", line_key: str = "record_id", line: str = "record", names: tuple[str, str] = ("task2_train", "task2_raw")) -> DataFrame:
@@ -145,6 +176,6 @@ def copy_counts(texts: DataFrame | None, lines: DataFrame | None = None, key: st
     Nulls, blanks, texts without a letter or digit and lines without all six fields are left as they are, one row each, so
     that the copies of a table add up to its rows.
     """
-    keys = written(_keys(texts, lines, key, text, line_key, line, names, True))
-    alone = keys.join(shared_parts(keys, PARTS), PARTS, "left_anti").select("tbl", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("copies"))
-    return classes(keys, 1).select("tbl", "first_id", "copies").unionByName(alone)
+    keys, speller = _keys(texts, lines, key, text, line_key, line, names)
+    alone = keys.join(shared_parts(keys), PARTS, "left_anti").select("tbl", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("copies"))
+    return classes(refined(keys, speller), 1).select("tbl", "first_id", "copies").unionByName(alone)
