@@ -1,18 +1,18 @@
 """Same or nearly same records across splits (problem 5): a weighted cosine join.
 
-A record is the vector of its words (a repeated word counts as several terms), weighted by rarity. Two records within
-``edits`` word edits lose at most ``edits`` terms each, so their dot product is at least the squared norm less the
-``edits`` largest squared weights: that is the least similarity a record accepts, its maximum-weight bound. Terms are
-taken by falling weight. What remains behind a prefix has a residual norm below that bound as soon as the prefix holds
-more than ``edits`` terms, so partners must meet in the prefixes; a prefix one term longer makes them meet in two terms.
-Inverted lists are kept for these pairs of prefix terms, which are far shorter than lists of single words. Every candidate
-gets its exact dot product, and those above both bounds are compared word by word.
+A record is the vector of its words (a repeated word counts as several terms), weighted by rarity; terms are taken by falling
+weight. Two records within ``edits`` word edits lose at most ``edits`` terms each, so their dot product is at least the squared
+norm less the ``edits`` largest squared weights: the least a record accepts, its maximum-weight bound. Partners must therefore
+share two of the first ``edits`` + 2 terms, and inverted lists are kept for pairs of these, which are far shorter than lists of
+single words. An entry carries what the dot product can reach when its two terms are the first that are shared: their squared
+weights and the squared residual norm of all that follows. Entries whose reach is below the record's own bound aren't kept,
+and a join drops pairs of which either reach is below either bound. One more list of each record is that of its letters and
+digits as a whole, in which copies meet. Every candidate gets its exact dot product and is then compared word by word.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -72,86 +72,111 @@ def _weights(buckets: np.ndarray) -> np.ndarray:
     return np.log1p(max(1.0, float(buckets.sum())) / np.maximum(buckets, 1))
 
 
-def _signatures(df: DataFrame, buckets: np.ndarray, edits: int) -> DataFrame:
-    """(form, side, n, sig): each class's inverted-list entries. Classes of at most ``edits`` words meet in one list of their own, as they are all within reach of each other; short ones also meet in single terms."""
-    weights = _weights(buckets)
+#: Lists over which the records of at most ``edits`` words are spread, as all of them are within reach of each other.
+SHORT_LISTS = 16
+#: A hair of slack for the order of summation.
+_SLACK = 1 - 1e-9
+
+
+def entries_of(found: list[str], squares: np.ndarray, edits: int) -> tuple[float, list[tuple[int, float]]]:
+    """The least dot product that a record of words ``found`` accepts, and its inverted-list entries: (list, reach). ``squares``: squared weight of each term bucket."""
+    terms = _terms(found)
+    w = squares[terms % BUCKETS]
+    order = np.lexsort((terms, -w))
+    terms, w = terms[order].tolist(), w[order]
+    norm, lead = float(w.sum()), min(len(terms), edits + 2)
+    need = norm - float(w[:edits].sum())
+    residual = norm - np.cumsum(w)  # squared norm behind each place
+    out = []
+    for j in range(lead):
+        if len(terms) <= edits + 1:
+            out.append((terms[j], float(w[j] + residual[j])))
+        for i in range(j):
+            a, b = sorted((terms[i], terms[j]))
+            out.append((xxhash.xxh64_intdigest(f"{a},{b}") - (1 << 63), float(w[i] + w[j] + residual[j])))
+    return need, [(sig, reach) for sig, reach in out if reach >= need * _SLACK]
+
+
+def _signatures(df: DataFrame, buckets: np.ndarray, edits: int, held: bool) -> DataFrame:
+    """(sig, form, reach, need): the entries of each class of equal words in the inverted lists. Classes of at most ``edits`` words are in one of SHORT_LISTS more if ``held``, else in all of these."""
+    squares = _weights(buckets) ** 2
 
     def batches(it):
         for b in it:
-            forms, sides, sigs = [], [], []
-            for form, side, text in zip(b["form"], b["side"], b["words"]):
-                terms = _terms(text.split(" "))
-                n = len(terms)
-                order = np.lexsort((terms, -weights[terms % BUCKETS]))
-                lead = [int(x) for x in terms[order[: edits + 2]]]
-                found = {xxhash.xxh64_intdigest(f"{x},{y}") - (1 << 63) for x, y in (sorted(p) for p in combinations(lead, 2))}
-                if n <= edits + 1:
-                    found |= set(lead)
-                if n <= edits:
-                    found.add(0)
-                forms += [form] * len(found)
-                sides += [side] * len(found)
-                sigs += found
+            forms, sigs, reaches, needs = [], [], [], []
+            for form, core_, text in zip(b["form"], b["core"], b["words"]):
+                found = text.split(" ")
+                need, made = entries_of(found, squares, edits)
+                made.append((xxhash.xxh64_intdigest(core_, seed=1) - (1 << 63), np.inf))
+                if len(found) <= edits:
+                    made += [(k, np.inf) for k in ([form[0] % SHORT_LISTS] if held else range(SHORT_LISTS))]
+                forms += [form] * len(made)
+                needs += [need] * len(made)
+                for sig, reach in made:
+                    sigs.append(sig)
+                    reaches.append(reach)
             if forms:
-                yield pd.DataFrame({"form": forms, "side": sides, "sig": sigs})
-
-    return df.mapInPandas(batches, "form binary, side boolean, sig long")
+                yield pd.DataFrame({"sig": sigs, "form": forms, "reach": reaches, "need": needs})
 
+    return df.select("form", "core", "words").mapInPandas(batches, "sig long, form binary, reach double, need double")
 
-def near_pairs(df: DataFrame, key: str = "id", text: str = "text", split: str = "split", held_out: tuple[str, ...] = ("valid", "test"), train: str = "train", edits: int = 2) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows of which one is in split ``train`` and the other in one of ``held_out``, that are copies in letters and digits or within ``edits`` word edits.
 
-    Rows of equal words are folded into one class before any join, so copies meet once. Null texts, texts without a word and rows of a null
-    or other split are in no pair; extra columns don't matter; an empty table gives none.
-    """
-    require(df, key, text, split)
+def _linked(df: DataFrame, key: str, text: str, split: str, held_out: tuple[str, ...], train: str, edits: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, side, words, form, core and the columns ``more``) and links (form_e, form_t) between classes of equal words, the first of a held-out row and the second of a training row."""
+    require(df, key, text, split, *more)
     speller = Speller(bigram_counts(df, text))
-    chosen = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"), F.col(split).isin(*held_out).alias("side")).where(F.col(split).isin(train, *held_out))
+    columns = [F.col(c).cast("string").alias(f"more{k}") for k, c in enumerate(more)]
+    chosen = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"), F.col(split).isin(*held_out).alias("side"), *columns).where(F.col(split).isin(train, *held_out))
 
     def batches(it):
         for b in it:
-            made = [(i, s, w) for i, t, s in zip(b["id"], b["t"], b["side"]) if t is not None and (w := words(speller.form(t)))]
-            if made:
-                yield pd.DataFrame({"id": [i for i, _, _ in made], "side": [s for _, s, _ in made], "words": [" ".join(w) for _, _, w in made], "form": [xxhash.xxh128_digest(" ".join(w)) for _, _, w in made], "core": [xxhash.xxh128_digest("".join(w)) for _, _, w in made]})
+            made = [" ".join(words(speller.form(t))) if t is not None else "" for t in b["t"]]
+            out = b.drop(columns="t").assign(words=made, form=[xxhash.xxh128_digest(m) for m in made], core=[xxhash.xxh128_digest(m.replace(" ", "")) for m in made])
+            yield out[out["words"] != ""]
 
-    rows = written(chosen.mapInPandas(batches, "id long, side boolean, words string, form binary, core binary"))
+    rows = written(chosen.mapInPandas(batches, "id long, side boolean, " + "".join(f"more{k} string, " for k in range(len(more))) + "words string, form binary, core binary"))
     # term frequencies over all records, in a sketch of fixed size
     counted = rows.select("words").mapInPandas(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     buckets = np.zeros(BUCKETS)
     for r in bounded_rows(counted, BUCKETS, "term buckets"):
         buckets[r.bucket] = r.n
-    kinds = rows.groupBy("form", "side").agg(F.first("words").alias("words"))
-    entries = _signatures(kinds, buckets, edits)
-    held, base = entries.where("side").select("sig", F.col("form").alias("form_e")), entries.where("not side").select("sig", F.col("form").alias("form_t"))
-    met = held.join(base, "sig").select("form_e", "form_t").distinct()
-    texts = kinds.groupBy("form").agg(F.first("words").alias("words"))
-    met = met.join(texts.select(F.col("form").alias("form_e"), F.col("words").alias("words_e")), "form_e").join(texts.select(F.col("form").alias("form_t"), F.col("words").alias("words_t")), "form_t")
-    weights = _weights(buckets)
+    kinds = written(rows.groupBy("form").agg(F.first("words").alias("words"), F.first("core").alias("core"), F.max("side").alias("held"), F.min("side").alias("only_held")))
+    held, base = kinds.where("held"), kinds.where("not only_held")
+    e, t = (_signatures(x, buckets, edits, x is held).select("sig", *(F.col(c).alias(f"{c}_{n}") for c in ("form", "reach", "need"))) for x, n in ((held, "e"), (base, "t")))
+    reached = F.least("reach_e", "reach_t") >= F.greatest("need_e", "need_t") * _SLACK
+    met = e.join(t, "sig").where((F.col("form_e") != F.col("form_t")) & reached).select("form_e", "form_t").distinct()
+    side = lambda n: kinds.select(*(F.col(c).alias(f"{c}_{n}") for c in ("form", "words", "core")))
+    squares = _weights(buckets) ** 2
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
             u, v = x.split(" "), y.split(" ")
-            if x == y:
-                out.append(True)
-                continue
             tu, tv = _terms(u), _terms(v)
-            wu, wv = weights[tu % BUCKETS] ** 2, weights[tv % BUCKETS] ** 2
+            wu, wv = squares[tu % BUCKETS], squares[tv % BUCKETS]
             dot = float(wu[np.isin(tu, tv)].sum())
-            # a hair of slack for the order of summation
-            need = max(float(w.sum() - np.sort(w)[-edits:].sum()) for w in (wu, wv)) * (1 - 1e-9)
-            out.append(dot >= need and within(u, v, edits))
+            need = max(float(w.sum() - np.sort(w)[-edits:].sum()) for w in (wu, wv))
+            out.append(dot >= need * _SLACK and within(u, v, edits))
         return pd.Series(out, dtype=bool)
 
-    linked = met.where(near("words_e", "words_t")).select("form_e", "form_t")
-    held_rows, train_rows = rows.where("side").select("id", "form", "core"), rows.where("not side").select("id", "form", "core")
-    by_words = linked.join(held_rows.select(F.col("id").alias("i"), F.col("form").alias("form_e")), "form_e").join(train_rows.select(F.col("id").alias("j"), F.col("form").alias("form_t")), "form_t").select("i", "j")
-    # copies whose words are parted elsewhere: same letters and digits, other words
-    parted = rows.groupBy("core").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select("core")
-    a, b = held_rows.join(parted, "core", "left_semi"), train_rows.join(parted, "core", "left_semi")
-    by_core = a.select("core", F.col("id").alias("i"), F.col("form").alias("f")).join(b.select("core", F.col("id").alias("j"), F.col("form").alias("g")), "core").join(linked.select(F.col("form_e").alias("f"), F.col("form_t").alias("g")), ["f", "g"], "left_anti").select("i", "j")
-    return by_words.unionByName(by_core).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
+    both = met.join(side("e"), "form_e").join(side("t"), "form_t")
+    copies = F.col("core_e") == F.col("core_t")
+    linked = both.where(copies).unionByName(both.where(~copies).where(near("words_e", "words_t"))).select("form_e", "form_t")
+    same = kinds.where("held and not only_held").select(F.col("form").alias("form_e"), F.col("form").alias("form_t"))
+    return rows, linked.unionByName(same)
+
+
+def near_pairs(df: DataFrame, key: str = "id", text: str = "text", split: str = "split", held_out: tuple[str, ...] = ("valid", "test"), train: str = "train", edits: int = 2) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: rows of which one is in split ``train`` and the other in one of ``held_out``, that are copies in letters and digits or within ``edits`` word edits.
+
+    Rows of equal words are folded into one class before any join, so copies meet once. Null texts, texts without a word and rows of a null
+    or other split are in no pair; extra columns don't matter; an empty table gives none.
+    """
+    rows, linked = _linked(df, key, text, split, held_out, train, edits)
+    held = rows.where("side").select(F.col("id").alias("i"), F.col("form").alias("form_e"))
+    base = rows.where("not side").select(F.col("id").alias("j"), F.col("form").alias("form_t"))
+    return linked.join(held, "form_e").join(base, "form_t").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
 
 
 def _bucket_counts(it):
@@ -164,13 +189,18 @@ def _bucket_counts(it):
         yield pd.DataFrame({"bucket": used.astype(np.int32), "n": total[used]})
 
 
-def overlap_report(df: DataFrame, key: str = "id", text: str = "text", split: str = "split", source: str = "source", label: str = "class") -> DataFrame:
-    """Cross-split overlaps counted per held-out split and source: (split, source, pairs, records, other_class), the last being pairs whose classes differ (null and null agree)."""
-    pairs = written(near_pairs(df, key, text, split))
-    side = df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.col(source).alias("source"), F.col(label).alias("label"))
-    a, b = (side.select(F.col("id").alias(f"id_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("split", "source", "label"))) for x in "ab")
-    both = pairs.join(a, "id_a").join(b, "id_b")
-    pick = lambda c: F.when(F.col("split_a") == "train", F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
-    both = both.select(pick("split").alias("split"), pick("source").alias("source"), pick("id").alias("held"), (~F.col("label_a").eqNullSafe(F.col("label_b"))).cast("long").alias("other"))
-    per_row = both.groupBy("split", "source", "held").agg(F.count(F.lit(1)).alias("pairs"), F.sum("other").alias("other"))
-    return per_row.groupBy("split", "source").agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("records"), F.sum("other").alias("other_class"))
+def overlap_report(df: DataFrame, key: str = "id", text: str = "text", split: str = "split", source: str = "source", label: str = "class", held_out: tuple[str, ...] = ("valid", "test"), train: str = "train", edits: int = 2) -> DataFrame:
+    """Cross-split overlaps counted per held-out split and source: (split, source, pairs, records, other_class), the last being pairs whose classes differ (null and null agree).
+
+    Counted from the links between classes of equal words and the sizes of these classes: pairs of rows are never listed.
+    """
+    rows, linked = _linked(df, key, text, split, held_out, train, edits, split, source, label)
+    named = [F.col("more0").alias("split"), F.col("more1").alias("source"), F.col("more2").alias("label")]
+    base = rows.where("not side").select(F.col("form").alias("form_t"), F.col("more2").alias("label")).groupBy("form_t", "label").agg(F.count(F.lit(1)).alias("n"))
+    partners = linked.join(base, "form_t").groupBy("form_e", F.col("label").alias("other")).agg(F.sum("n").alias("n"))
+    held = rows.where("side").select(F.col("form").alias("form_e"), *named).groupBy("form_e", "split", "source", "label").agg(F.count(F.lit(1)).alias("records"))
+    # a class of equal words has a row for each label on either side, of which there are few
+    met = held.join(partners, "form_e").withColumn("pairs", F.col("records") * F.col("n"))
+    differ = F.when(F.col("label").eqNullSafe(F.col("other")), 0).otherwise(F.col("pairs"))
+    each = met.groupBy("form_e", "split", "source", "label").agg(F.sum("pairs").alias("pairs"), F.first("records").alias("records"), F.sum(differ).alias("other_class"))
+    return each.groupBy("split", "source").agg(F.sum("pairs").alias("pairs"), F.sum("records").alias("records"), F.sum("other_class").alias("other_class"))
