@@ -33,13 +33,13 @@ def words(form: str) -> list[str]:
     return [w for x in form.split() if (w := core(x))]
 
 
-def _terms(found: list[str]) -> np.ndarray:
+def _terms(found: list[str]) -> list[int]:
     """64-bit hashes of the words; the n-th occurrence of a word is a term of its own."""
     seen: dict[str, int] = {}
-    out = np.empty(len(found), dtype=np.int64)
-    for i, w in enumerate(found):
+    out = []
+    for w in found:
         n = seen[w] = seen.get(w, 0) + 1
-        out[i] = xxhash.xxh64_intdigest(w, seed=n) - (1 << 63)
+        out.append(xxhash.xxh64_intdigest(w, seed=n) - (1 << 63))
     return out
 
 
@@ -78,28 +78,25 @@ SHORT_LISTS = 16
 _SLACK = 1 - 1e-9
 
 
-def entries_of(found: list[str], squares: np.ndarray, edits: int) -> tuple[float, list[tuple[int, float]]]:
+def entries_of(found: list[str], squares: list[float], edits: int) -> tuple[float, list[tuple[int, float]]]:
     """The least dot product that a record of words ``found`` accepts, and its inverted-list entries: (list, reach). ``squares``: squared weight of each term bucket."""
-    terms = _terms(found)
-    w = squares[terms % BUCKETS]
-    order = np.lexsort((terms, -w))
-    terms, w = terms[order].tolist(), w[order]
-    norm, lead = float(w.sum()), min(len(terms), edits + 2)
-    need = norm - float(w[:edits].sum())
-    residual = norm - np.cumsum(w)  # squared norm behind each place
-    out = []
-    for j in range(lead):
-        if len(terms) <= edits + 1:
-            out.append((terms[j], float(w[j] + residual[j])))
-        for i in range(j):
-            a, b = sorted((terms[i], terms[j]))
-            out.append((xxhash.xxh64_intdigest(f"{a},{b}") - (1 << 63), float(w[i] + w[j] + residual[j])))
-    return need, [(sig, reach) for sig, reach in out if reach >= need * _SLACK]
+    ranked = sorted((-squares[t % BUCKETS], t) for t in _terms(found))
+    norm = -sum(w for w, _ in ranked)
+    need = norm + sum(w for w, _ in ranked[:edits])
+    residual, out = norm, []
+    for j, (w, t) in enumerate(ranked[: edits + 2]):
+        residual += w  # squared norm behind this place
+        if len(ranked) <= edits + 1:
+            out.append((t, residual - w))
+        for v, u in ranked[:j]:
+            a, b = (t, u) if t < u else (u, t)
+            out.append((xxhash.xxh64_intdigest(f"{a},{b}") - (1 << 63), residual - w - v))
+    return need, [x for x in out if x[1] >= need * _SLACK]
 
 
 def _signatures(df: DataFrame, buckets: np.ndarray, edits: int, held: bool) -> DataFrame:
     """(sig, form, reach, need): the entries of each class of equal words in the inverted lists. Classes of at most ``edits`` words are in one of SHORT_LISTS more if ``held``, else in all of these."""
-    squares = _weights(buckets) ** 2
+    squares = (_weights(buckets) ** 2).tolist()
 
     def batches(it):
         for b in it:
@@ -146,17 +143,16 @@ def _linked(df: DataFrame, key: str, text: str, split: str, held_out: tuple[str,
     reached = F.least("reach_e", "reach_t") >= F.greatest("need_e", "need_t") * _SLACK
     met = e.join(t, "sig").where((F.col("form_e") != F.col("form_t")) & reached).select("form_e", "form_t").distinct()
     side = lambda n: kinds.select(*(F.col(c).alias(f"{c}_{n}") for c in ("form", "words", "core")))
-    squares = _weights(buckets) ** 2
+    squares = (_weights(buckets) ** 2).tolist()
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
             u, v = x.split(" "), y.split(" ")
-            tu, tv = _terms(u), _terms(v)
-            wu, wv = squares[tu % BUCKETS], squares[tv % BUCKETS]
-            dot = float(wu[np.isin(tu, tv)].sum())
-            need = max(float(w.sum() - np.sort(w)[-edits:].sum()) for w in (wu, wv))
+            tu, tv = ({t: squares[t % BUCKETS] for t in _terms(w)} for w in (u, v))
+            dot = sum(w for t, w in tu.items() if t in tv)
+            need = max(sum(sorted(w.values())[:-edits]) if edits else sum(w.values()) for w in (tu, tv))
             out.append(dot >= need * _SLACK and within(u, v, edits))
         return pd.Series(out, dtype=bool)
 
@@ -182,8 +178,8 @@ def near_pairs(df: DataFrame, key: str = "id", text: str = "text", split: str =
 def _bucket_counts(it):
     total = np.zeros(BUCKETS, dtype=np.int64)
     for b in it:
-        for text in b["words"]:
-            np.add.at(total, _terms(text.split(" ")) % BUCKETS, 1)
+        terms = np.array([t % BUCKETS for text in b["words"] for t in _terms(text.split(" "))], dtype=np.int64)
+        total += np.bincount(terms, minlength=BUCKETS)
     used = np.flatnonzero(total)
     if len(used):
         yield pd.DataFrame({"bucket": used.astype(np.int32), "n": total[used]})
