@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.common import require, small_or_plain
+from tidemill.operators.relational import positions
 from tidemill.operators.timeseries import Aggregate, _aggregate, _label
 
 #: Rows of statistics sent to every executor at most.
@@ -37,8 +38,7 @@ class TagEncoder:
         """Learns (tag, id) from the rows in the given order; nulls are no tags."""
         require(df, col, *order_by)
         first = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("tag")).agg(F.min(F.struct(*order_by)).alias("first"))
-        # distinct tags only: ranked through one sort of a table of tags
-        self.tags = first.select("tag", (F.row_number().over(Window.orderBy("first", "tag")) - 1).alias("id"))
+        self.tags = positions(first, ["first", "tag"], "id").select("tag", F.col("id").cast("int").alias("id"))
         return self
 
     def _fitted(self) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.common import require, small_or_plain
+from tidemill.common import bounded_rows, require, small_or_plain
 
 #: Rows of a look-up table sent to every executor at most.
 LOOKUP_BROADCAST = 100_000
@@ -140,9 +140,10 @@ def positions(df: DataFrame, order_by: Sequence[str], to: str = "position") -> D
     from tidemill.common import written
 
     kept = written(ranged)
-    counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
-    offsets = counts.select("__part", "first", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return kept.join(F.broadcast(offsets), "__part").withColumn(to, F.col("offset") + F.col("__id") - F.col("first")).drop("__part", "__id", "first", "offset")
+    counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = counts.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    return kept.join(F.broadcast(offsets), "__part").withColumn(to, F.col("__offset") + F.col("__id") - F.col("__first")).drop("__part", "__id", "__first", "__offset")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -150,12 +151,28 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), key), key)
 
 
+#: Classes of hashes by which the cut of ``undersampled`` is found.
+HASH_CLASSES = 1 << 16
+
+
 def undersampled(df: DataFrame, label: str, key: str, share: float = 1.0, seed: int = 42) -> tuple[DataFrame, float]:
-    """The majority class of a binary label cut to ``share`` times the minority's size, by hash order of ``key``; and the ratio beta by which it was cut. The cut is a threshold of the order statistic, not a sort of the class in one task."""
-    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    """The majority class of a binary label cut to ``share`` times the minority's size, by hash order of ``key``; and the ratio beta by which it was cut.
+
+    Rows are counted by class of their hash; classes below the cut are kept whole, and only the one class the cut falls into is sorted.
+    """
+    counts = {r[0]: r[1] for r in bounded_rows(df.where(F.col(label).isNotNull()).groupBy(label).count(), 2, "values of a binary label")}
     if len(counts) != 2:
         raise ValueError("a binary label is needed")
     (minor, n_minor), (major, n_major) = sorted(counts.items(), key=lambda x: (x[1], str(x[0])))
     keep = min(n_major, int(n_minor * share))
-    drawn = df.where(F.col(label) == major).withColumn("__h", F.xxhash64(F.lit(seed), key)).orderBy("__h", key).limit(keep).drop("__h")
-    return df.where(F.col(label) == minor).unionByName(drawn), keep / n_major
+    h, part = (f"__{c}_{label}" for c in ("h", "part"))
+    hashed = df.where(F.col(label) == major).withColumn(h, F.xxhash64(F.lit(seed), key)).withColumn(part, F.shiftright(F.col(h), 48))
+    left, cut = keep, None
+    for r in sorted(bounded_rows(hashed.groupBy(part).count(), HASH_CLASSES, "classes of hashes")):
+        cut = r[0]
+        if r[1] >= left:
+            break
+        left -= r[1]
+    below = hashed.where(F.col(part) < F.lit(cut))
+    at = hashed.where(F.col(part) == F.lit(cut)).orderBy(h, key).limit(left)
+    return df.where(F.col(label) == minor).unionByName(below.unionByName(at).drop(h, part)), keep / n_major

@@ -561,9 +561,9 @@ def jaccard_pairs(spark, d):
 # -- scaling and models
 
 
-@query("SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN -0.01 * ln(1 + ln(1 + (0 - c_acctbal) / 8000)) WHEN c_acctbal > 8000 THEN 1 + 0.01 * ln(1 + ln(1 + (c_acctbal - 8000) / 8000)) ELSE c_acctbal / 8000 END, 6) AS scaled FROM customer")
+@query("SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN -0.01 * ln(1 + ln(1 + (0 - c_acctbal) / 8000)) WHEN c_acctbal > 8000 THEN 1 + 0.01 * ln(1 + ln(1 + (c_acctbal - 8000) / 8000)) ELSE c_acctbal / 8000 END, 10) AS scaled FROM customer")
 def quantile_scale(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.round(S.tail_scaled(F.col("c_acctbal"), 0.0, 8000.0), 6).alias("scaled"))
+    return table(spark, d, "customer").select("c_custkey", F.round(S.tail_scaled(F.col("c_acctbal"), 0.0, 8000.0), 10).alias("scaled"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(0.1 * l_discount / (0.1 * l_discount - l_discount + 1), 6) AS p FROM lineitem")
