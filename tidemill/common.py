@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -32,9 +33,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def discard() -> None:
+    """Deletes what ``written`` has written so far. Frames read from it can't be used any more; runs by itself at the end of the program."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            continue
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as compressed Parquet to the shared folder and read back: a checkpoint that prunes columns and takes less disk."""
     path = f"{_checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(discard)
+    _WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
