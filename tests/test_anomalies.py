@@ -83,3 +83,32 @@ def test_scores_do_not_depend_on_the_stretches(spark, monkeypatch):
         monkeypatch.setattr(A, "STRETCH", size)
         assert {r.reading_id: r for r in A.scored_readings(df).collect()} == whole
     assert len(whole) == 750
+
+
+def test_profiles_come_from_all_readings_of_a_source(spark, monkeypatch):
+    v = usual(3000, 8)
+    v[1000:1600] = list(np.round(np.array(v[1000:1600]) * (1 + np.random.default_rng(9).normal(0, 0.2, 600)), 2))
+    v[50], v[60], v[2000], v[2500:2512] = -3.0, float("inf"), 0.0, [10.5] * 12
+    others = {"b": [float("inf")] * 250, "c": [5.0, 5.0, -2.0] * 70, "d": [7.0]}
+    df, known = frame(spark, v), {"a": v} | others
+    for i, (source, values) in enumerate(others.items()):
+        df = df.unionByName(frame(spark, values, source, 10_000 * (i + 1)))
+    first = [0, 10_000, 20_000, 30_000]
+    start = int(np.datetime64(T0, "us").astype(np.int64))
+    want = {}
+    for base, values in zip(first, known.values()):
+        columns = A.judged(start + np.arange(len(values)) * 60_000_000, np.array(values))
+        want |= {base + i: row for i, row in enumerate(zip(*(c.tolist() for c in columns)))}
+    for size in (20_000, 100, 701):
+        monkeypatch.setattr(A, "STRETCH", size)
+        got = {r.reading_id: (r.score, r.impossible, r.spike, r.stuck) for r in A.scored_readings(df).collect()}
+        assert got == want
+
+
+def test_middle_values_are_exact():
+    random = np.random.default_rng(2)
+    values = np.r_[random.normal(0, 1, 500), -0.0, 0.0, 1e300, -1e-300]
+    assert (A._value(A._key(values)) == values).all()
+    assert (np.argsort(A._key(values), kind="stable") == np.argsort(values, kind="stable")).all()
+    drawn = A.draws(50_000)
+    assert {len(set(d)) for d in drawn} == {A.SAMPLE} and max(map(max, drawn)) > 49_000 and len(set(np.concatenate(drawn))) > 2_000
