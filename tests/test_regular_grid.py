@@ -80,3 +80,63 @@ def test_empty_tables(spark):
     assert G.missing_periods(spark.createDataFrame([], READ), spark.createDataFrame([], FLY)).count() == 0
     with pytest.raises(ValueError):
         G.missing_periods(spark.createDataFrame([], "x int"), spark.createDataFrame([], FLY))
+
+
+def test_missing_periods_come_from_the_factorised_series(spark, monkeypatch):
+    flights = [(i, s, at(0), at(600), 60) for i, s in enumerate("abc")] + [(8, None, at(0), at(60), 60)]
+    readings = [(0, s, at(60 * k), scale * (2.0 + k), T0) for s, scale in (("a", 1.0), ("b", 5.0), ("c", 20.0)) for k in range(10) if (s, k) != ("a", 4) and k != 7]
+    r, f = spark.createDataFrame(readings, READ), spark.createDataFrame(flights, FLY)
+    statuses, plain = [], G.regular_series
+
+    def kept(*given):
+        out = plain(*given)
+        statuses.extend((x.source_id, x.k, x.status) for x in out.where("status <> 'observed'").collect())
+        return out
+
+    monkeypatch.setattr(G, "regular_series", kept)
+    got = sorted((str(x.source_id), x.period_start[-5:]) for x in G.missing_periods(r, f).collect())
+    assert got == [("None", "00:00"), ("a", "04:00"), ("a", "07:00"), ("b", "07:00"), ("c", "07:00")]
+    assert sorted(map(str, statuses)) == sorted(map(str, [(None, 0, "missing"), ("a", 4, "filled"), *((s, 7, "missing") for s in "abc")]))
+
+
+def test_fills_do_not_depend_on_blocks_or_on_how_factors_travel(spark, monkeypatch):
+    import random
+
+    x = random.Random(4)
+    readings = [(0, s, at(60 * k), 10 ** (i % 3) * (2 + k % 7) * x.uniform(0.9, 1.1), T0) for i, s in enumerate("abcdef") for k in range(90) if x.random() < 0.85]
+    readings += [(0, "a", at(5401), -1.0, T0), (0, "b", at(5401), float("inf"), T0)]
+    # the flights of a and of b meet within one column
+    flights = [(i, s, at(0), at(5430 if s in "ab" else 5400), 60) for i, s in enumerate("abcdef")] + [(10, "a", at(5430), at(5500), 60), (11, "b", at(5430), at(5500), 60), (12, "f", datetime(2090, 1, 1), datetime(2090, 1, 1, 0, 5), 60)]
+    r, f = spark.createDataFrame(readings, READ), spark.createDataFrame(flights, FLY)
+
+    def series():
+        return {(y.flight_id, y.k): (y.value, y.status) for y in G.regular_series(r, f).collect()}
+
+    want = series()
+    assert len(want) == 6 * 90 + 2 + 4 + 5 and {s for _, s in want.values()} == {"observed", "filled", "missing"}
+    for name, size in (("BLOCK", 1), ("FACTORS_BROADCAST", 2), ("COLUMNS", 16)):
+        monkeypatch.setattr(G, name, size)
+        got = series()
+        assert {k: s for k, (_, s) in got.items()} == {k: s for k, (_, s) in want.items()}
+        assert all(v == pytest.approx(want[k][0], rel=1e-9) for k, (v, _) in got.items() if v is not None)
+
+
+def test_factors_are_those_of_plain_least_squares(spark):
+    import numpy as np
+
+    x = np.random.default_rng(6)
+    y = x.normal(0, 1, (7, 30)) + np.arange(7)[:, None]
+    rows = [(f"s{i}", 3600, j, float(y[i, j])) for i in range(7) for j in range(30)]
+    with pytest.warns(UserWarning, match="still changed"):
+        sources, columns = G.factorised(spark.createDataFrame(rows, "source_id string, width long, col long, y double"), tolerance=0.0, rounds=4)
+    e = y - y.mean(axis=1, keepdims=True)
+    turn = np.arange(30) % 24 / 24 * 2 * np.pi
+    v, ridge = np.column_stack([np.cos(turn), np.sin(turn)]), 0.1 * np.eye(2)
+    for _ in range(4):
+        u = np.linalg.solve(v.T @ v + ridge, v.T @ e.T).T
+        v = np.linalg.solve(u.T @ u + ridge, u.T @ e).T
+    for g in sources.collect():
+        assert (g.u1, g.u2, g.mean, g.cells) == pytest.approx((*u[int(g.source_id[1:])], y[int(g.source_id[1:])].mean(), 30))
+    assert {c.col: c.sources for c in columns.collect()} == dict.fromkeys(range(30), 7)
+    for c in columns.collect():
+        assert (c.v1, c.v2) == pytest.approx(tuple(v[c.col]))
