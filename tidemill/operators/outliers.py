@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.common import bounded_rows, checkpointed, require
+from tidemill.common import bounded_rows, checkpointed, require, written
 from tidemill.operators.timeseries import absolute_deviation
 
 #: Clusters at most: their centres and scores are constants of the plan.
 MAX_CLUSTERS = 1000
+#: Ranges of sorted values at most, as many as shuffle partitions: a row of sums of each reaches the driver.
+MAX_RANGES = 100_000
 
 
 def _median(c) -> Column:
@@ -218,19 +220,54 @@ def gaussian_process_outliers(df: DataFrame, col: str, order_by: Sequence[str],
 # -- clusters -------------------------------------------------------------------------------------------------------------
 
 
+def _ranged(df: DataFrame, *order_by: str) -> DataFrame:
+    """``df`` written in ranges of an order, ``part`` their number: ranges of lower numbers come first."""
+    return written(df.repartitionByRange(*order_by).withColumn("part", F.spark_partition_id()))
+
+
 def dbscan_1d(df: DataFrame, col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """Density clusters of one column: ``cluster`` from 0, -1 for noise. Neighbour counts and gaps follow from the sorted values alone: equal values are folded first, then ranges of values run side by side with their sums carried over."""
+    """Density clusters of one column: ``cluster`` from 0, -1 for noise. Equal values are folded first, then ranges of values run side by side, with sums and neighbouring cores carried from range to range: no task orders all values, and none looks at a value more than a fixed number of times, however wide ``eps`` is."""
     require(df, col)
+    eps = float(eps)
     values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("x")  # distinct values only
-    near = values.withColumn("near", F.expr(f"sum(n) OVER (ORDER BY x RANGE BETWEEN {float(eps)}D PRECEDING AND {float(eps)}D FOLLOWING)"))
-    core = near.withColumn("core", F.col("near") >= min_samples)
+    # neighbours: rows up to x + eps less rows below x - eps; both bounds are sorted in among the values, below (0) or above (2) equal ones (1)
+    bound = lambda at, kind, n: F.struct(at.alias("at"), F.lit(kind).alias("kind"), n.alias("n"))
+    none = F.lit(0).cast("long")
+    ends = F.array(bound(F.col("x") - eps, 0, none), bound(F.col("x"), 1, F.col("n")), bound(F.col("x") + eps, 2, none))
+    sorted_in = _ranged(values.select("x", F.explode(ends).alias("e")).select("x", "e.*"), "at", "kind")
+    offsets, total = [], 0
+    for r in sorted(bounded_rows(sorted_in.groupBy("part").agg(F.sum("n").alias("n")), MAX_RANGES, "ranges")):
+        offsets.append((r["part"], total))
+        total += r["n"]
+    carried = df.sparkSession.createDataFrame(offsets, "part int, before long")
+    up = F.sum("n").over(Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    summed = sorted_in.withColumn("up", up).join(F.broadcast(carried), "part").where("kind <> 1").withColumn("up", F.col("up") + F.col("before"))
+    near = summed.groupBy("x").agg(F.sum(F.when(F.col("kind") == 2, F.col("up")).otherwise(-F.col("up"))).alias("near"))
+    core = _ranged(near.select("x", (F.col("near") >= min_samples).alias("core")), "x")
+
+    w = Window.partitionBy("part").orderBy("x")
     last = F.last(F.when(F.col("core"), F.col("x")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    begun = core.withColumn("starts", (F.col("core") & (last.isNull() | (F.col("x") - last > eps))).cast("int"))
-    numbered = begun.withColumn("c", F.when(F.col("core"), F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1))
-    before = F.last(F.when(F.col("core"), F.struct("x", "c")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("core"), F.struct("x", "c")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    joined = numbered.withColumn("b", before).withColumn("a", after)
+    begun = core.withColumn("starts", F.coalesce((F.col("core") & (F.col("x") - last > eps)).cast("int"), F.lit(0)))
+    ranges = begun.groupBy("part").agg(*(f(F.when(F.col("core"), F.col("x"))).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))), F.sum("starts").alias("starts"))
+    around, bx, bc = {}, None, None  # by range: cluster of its first core; nearest core before and after it, with their clusters
+    found = sorted(bounded_rows(ranges, MAX_RANGES, "ranges"))
+    for r in found:
+        c = None if r["first"] is None else 0 if bx is None else bc if r["first"] - bx <= eps else bc + 1
+        around[r["part"]] = (r["part"], c, bx, bc)
+        if c is not None:
+            bx, bc = r["last"], c + r["starts"]
+    ax = ac = None
+    for r in reversed(found):
+        around[r["part"]] += (ax, ac)
+        if r["first"] is not None:
+            ax, ac = r["first"], around[r["part"]][1]
+    carried = df.sparkSession.createDataFrame(list(around.values()), "part int, c0 int, bx double, bc int, ax double, ac int")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    joined = begun.join(F.broadcast(carried), "part").withColumn("c", F.when(F.col("core"), F.col("c0") + F.sum("starts").over(so_far)))
+    at = F.when(F.col("core"), F.struct("x", "c"))
+    back = Window.partitionBy("part").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = joined.withColumn("b", F.coalesce(F.last(at, ignorenulls=True).over(so_far), F.struct(F.col("bx").alias("x"), F.col("bc").alias("c"))))
+    joined = joined.withColumn("a", F.coalesce(F.last(at, ignorenulls=True).over(back), F.struct(F.col("ax").alias("x"), F.col("ac").alias("c"))))
     label = F.when(F.col("core"), F.col("c")).when(F.col("x") - F.col("b.x") <= eps, F.col("b.c")).when(F.col("a.x") - F.col("x") <= eps, F.col("a.c")).otherwise(-1)
     labels = joined.select(F.col("x").alias("__x"), label.cast("int").alias("cluster"))
     return df.join(labels, F.col(col).cast("double") == F.col("__x"), "left").drop("__x")
